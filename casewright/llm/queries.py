@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from casewright.llm import decontaminate, quality, secrets, top_k, toxicity, url_filter
+from casewright.llm import decontaminate, licenses, quality, secrets, top_k, toxicity, url_filter
 from casewright.session import table
 
 
@@ -21,6 +21,10 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -38,7 +42,7 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op3_toxicity, op4_decontamination, op6_quality, op8_secrets, op9_url_filters, op10_exact_top_k]
+    found = [op3_toxicity, op4_decontamination, op5_licenses, op6_quality, op8_secrets, op9_url_filters, op10_exact_top_k]
     return {f.__name__: f for f in found}
 
 
