@@ -9,10 +9,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from casewright.llm import decontaminate, licenses, quality, secrets, top_k, toxicity, url_filter
+from casewright.llm import decontaminate, licenses, packing, quality, secrets, sharding, top_k, toxicity, url_filter
 from casewright.session import table
 
 
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(table(spark, sf_dir, "documents"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -29,6 +33,10 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(table(spark, sf_dir, "documents"))
 
@@ -42,7 +50,7 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op3_toxicity, op4_decontamination, op5_licenses, op6_quality, op8_secrets, op9_url_filters, op10_exact_top_k]
+    found = [op2_sharding, op3_toxicity, op4_decontamination, op5_licenses, op6_quality, op7_packing, op8_secrets, op9_url_filters, op10_exact_top_k]
     return {f.__name__: f for f in found}
 
 
