@@ -1,0 +1,28 @@
+"""Connected components of a link table, in rounds over checkpointed tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from casewright.session import cut
+
+
+def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
+    """(node, label): the smallest node that each linked node reaches; links are undirected.
+
+    Every round a node takes the smallest label next to it, then the label of its label (pointer jumping), so
+    long chains shrink geometrically.  Raises if ``rounds`` do not suffice.
+    """
+    both = links.select(F.col(a).alias("x"), F.col(b).alias("y"))
+    both = cut(both.union(both.select("y", "x")).where("x <> y").distinct())
+    labels = cut(both.groupBy("x").agg(F.least(F.min("y"), F.first("x")).alias("label")).select(F.col("x").alias("node"), "label"))
+    for _ in range(rounds):
+        near = both.join(labels.select(F.col("node").alias("y"), "label"), "y").groupBy("x").agg(F.min("label").alias("near"))
+        step = labels.join(near, labels.node == near.x, "left").select("node", F.col("label").alias("old"), F.least("label", F.coalesce("near", "label")).alias("label"))
+        jump = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
+        step = cut(step.join(jump, "label", "left").select("node", "old", F.least("label", F.coalesce("further", "label")).alias("label")))
+        labels = step.select("node", "label")
+        if step.where("old <> label").isEmpty():
+            return labels
+    raise RuntimeError(f"components did not settle in {rounds} rounds")

@@ -9,10 +9,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from casewright.llm import decontaminate, licenses, packing, quality, secrets, sharding, top_k, toxicity, url_filter
+from casewright.llm import decontaminate, licenses, ngram_join, packing, quality, secrets, sharding, top_k, toxicity, url_filter
 from casewright.session import table
 
 
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ngram_join.jaccard_join(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
@@ -50,10 +55,25 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op2_sharding, op3_toxicity, op4_decontamination, op5_licenses, op6_quality, op7_packing, op8_secrets, op9_url_filters, op10_exact_top_k]
+    found = [op1_jaccard_join, op2_sharding, op3_toxicity, op4_decontamination, op5_licenses, op6_quality, op7_packing, op8_secrets, op9_url_filters, op10_exact_top_k]
     return {f.__name__: f for f in found}
 
 
+OP1_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT rid, array_to_string(w[i : i + 4], ' ') AS t
+  FROM (SELECT rid, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT rid, count(*) AS n FROM s GROUP BY rid),
+p AS (SELECT x.rid AS a, y.rid AS b, count(*) AS k FROM s x JOIN s y ON x.t = y.t AND x.rid <> y.rid GROUP BY x.rid, y.rid),
+l AS (SELECT a, b FROM p JOIN n na ON na.rid = a JOIN n nb ON nb.rid = b WHERE 100 * k >= 75 * (na.n + nb.n - k)),
+r(a, b) AS (SELECT rid, rid FROM d UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id
+FROM d LEFT JOIN n USING (rid)
+JOIN (SELECT r.a AS rid, min(e.doc_id) AS component_id FROM r JOIN d e ON e.rid = r.b GROUP BY r.a) c USING (rid)
+"""
+
 OP4_SQL = r"""
 WITH d AS (
   SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
@@ -107,4 +127,4 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_decontamination": OP4_SQL, "op9_url_filters": OP9_SQL, "op10_exact_top_k": OP10_SQL}
+    return {"op1_jaccard_join": OP1_SQL, "op4_decontamination": OP4_SQL, "op9_url_filters": OP9_SQL, "op10_exact_top_k": OP10_SQL}
