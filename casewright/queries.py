@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from casewright.plans import graphs, relational, texts
+
+_PLANS = (relational, graphs, texts)
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: q for p in _PLANS for name, q in p.R.queries.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for p in _PLANS for name, sql in p.R.sql.items()}
