@@ -257,9 +257,11 @@ def redact(documents: DataFrame, rules: list[Rule] = RULES, mask: str = "<SECRET
     )
     found = with_spans(documents, rules)
     changed = F.size("__spans") > 0
-    out = {"text": F.when(changed, masked).otherwise(text)}
+    both = let(masked, lambda m: F.struct(m.alias("text"), F.length(m).cast("long").alias("n")))
+    found = found.withColumn("__new", F.when(changed, both))
+    out = {"text": F.when(changed, F.col("__new.text")).otherwise(text)}
     if "n_chars" in documents.columns:
-        out["n_chars"] = F.when(changed, F.length(masked).cast("long")).otherwise(F.col("n_chars"))
+        out["n_chars"] = F.when(changed, F.col("__new.n")).otherwise(F.col("n_chars"))
     return found.withColumns(out).select(*documents.columns)
 
 

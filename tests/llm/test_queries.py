@@ -1,0 +1,38 @@
+"""The registered queries equal their SQL, and the pipeline's stages keep the columns."""
+
+import sys
+from pathlib import Path
+
+import pytest
+
+sys.path.insert(0, str(Path(__file__).parents[1]))
+
+from oracle import compare  # noqa: E402
+
+import corpus_pipeline  # noqa: E402
+from casewright.llm import queries as llm  # noqa: E402
+from casewright.session import table  # noqa: E402
+
+SMALL = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", sorted(llm.oracle_sql()))
+def test_equals_sql(spark, name):
+    compare(spark, SMALL, llm.queries()[name], llm.oracle_sql()[name])
+
+
+def test_names():
+    assert [n.split("_")[0] for n in llm.queries()] == [f"op{i}" for i in range(1, 11)]
+
+
+def test_pipeline(spark, tmp_path):
+    docs = table(spark, SMALL, "documents")
+    columns, before = docs.columns, docs.count()
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        stage(spark, docs, SMALL).write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        assert docs.columns == columns and 0 < docs.count() <= before
+        before = docs.count()
+    kept = {r.doc_id for r in docs.select("doc_id").collect()}
+    packed = corpus_pipeline.run(spark, SMALL)
+    assert {r.doc_id for r in packed.select("doc_id").collect()} == kept
