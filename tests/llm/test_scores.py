@@ -39,17 +39,13 @@ def test_toxicity_on_held_out_rows(spark):
 def edit_distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
-        row = [i] + [0] * len(b) if False else _next(row, x, b, i)
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
     return row[-1]
 
 
-def _next(row, x, b, i):
-    out = [i]
-    for j, y in enumerate(b, 1):
-        out.append(min(row[j] + 1, out[-1] + 1, row[j - 1] + (x != y)))
-    return out
-
-
 def test_automaton_equals_edit_distance():
     import random
 
