@@ -164,3 +164,22 @@ def fnv1a(text: Column) -> Column:
         return (x * 403 + F.shiftleft(x.bitwiseAND(F.lit(255)), 24)).bitwiseAND(F.lit(4294967295))
 
     return F.aggregate(F.filter(F.split(text, ""), lambda c: c != ""), F.lit(2166136261).cast("long"), step)
+
+
+def url_title(url: Column) -> Column:
+    """The last part of a url's path, percent-decoded; a plus sign stays one."""
+    return F.url_decode(F.replace(F.substring_index(url, "/", -1), F.lit("+"), F.lit("%2B")))
+
+
+def volume_of(path: Column) -> Column:
+    """Struct (reporter, volume) of a raw volume's path; an error for any other path."""
+    pattern = r"(us|s-ct)/(\d+)\.zip$"
+    found = F.struct(F.regexp_extract(path, pattern, 1).alias("reporter"), F.regexp_extract(path, pattern, 2).try_cast("int").alias("volume"))
+    return F.when(path.rlike(pattern), found).otherwise(F.raise_error(F.concat(F.lit("not a volume: "), path)).cast("struct<reporter:string,volume:int>"))
+
+
+def around(text: Column, anchor: Column, width: int = 150) -> Column:
+    """The text within ``width`` characters of an anchor's first place; null if it isn't there."""
+    at = F.call_function("locate", anchor, text)
+    low = F.greatest(at - width, F.lit(1))
+    return F.when(at > 0, F.substring(text, low, at - low + F.length(anchor) + width))

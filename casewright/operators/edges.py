@@ -135,3 +135,15 @@ def merge_edges(edges: DataFrame, fold: DataFrame) -> DataFrame:
     moved = edges.join(a, "citing", "left").join(b, "cited", "left")
     moved = moved.select(F.coalesce("to_a", "citing").alias("citing"), F.coalesce("to_b", "cited").alias("cited"), "depth", "opinion_pairs")
     return moved.where("citing <> cited").groupBy("citing", "cited").agg(F.sum("depth").alias("depth"), F.sum("opinion_pairs").alias("opinion_pairs"))
+
+
+def merge_nodes(nodes: DataFrame, fold: DataFrame, sums: list[str], lists: list[str]) -> DataFrame:
+    """Canonical rows: ``sums`` added up and ``lists`` united (sorted) over the merged ones, other columns their own."""
+    group = nodes.join(fold, "id", "left").select("*", F.coalesce("canonical", "id").alias("__to"))
+    united = group.groupBy("__to").agg(
+        *[F.sum(c).alias(c) for c in sums],
+        *[F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c in lists],
+        F.array_sort(F.collect_list(F.when(F.col("canonical").isNotNull(), F.col("id")))).alias("merged_ids"),
+    )
+    own = nodes.drop(*sums, *lists).join(fold, "id", "left_anti")
+    return own.join(united, F.col("id") == F.col("__to")).drop("__to")

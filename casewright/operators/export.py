@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,3 +45,16 @@ def columnar_graph(nodes: DataFrame, edges: DataFrame) -> str:
 def write_modes(routes: DataFrame, path: str) -> None:
     """Writes routes by mode; modes that ``routes`` does not hold keep what is there."""
     routes.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("mode").parquet(path)
+
+
+def append_new(cache_path: str, rows: DataFrame, key: str) -> None:
+    """Adds the rows whose key the cache (Parquet, made if missing) doesn't hold yet."""
+    spark = rows.sparkSession
+    try:
+        held = spark.read.parquet(cache_path).select(key)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        rows.write.parquet(cache_path)
+        return
+    rows.join(held, key, "left_anti").write.mode("append").parquet(cache_path)

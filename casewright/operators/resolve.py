@@ -199,3 +199,22 @@ def audit(expected: DataFrame, nodes: DataFrame) -> DataFrame:
         F.col("has") != F.col("cite"), F.concat(F.col("name"), F.lit(" has cite "), F.col("has"), F.lit(", expected "), F.col("cite"))
     )
     return rows.select("id", problem.alias("problem")).where("problem is not null")
+
+
+def canon_nodes(canon: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(cite, name, node) of well-known cases: nodes of that cite by (shared words, real, most cited, lowest id); without
+    one, the lowest node of the same volume that shares a word.
+
+    canon: cite, name; nodes: id, name, cite, is_real, cited_all.
+    """
+    words = lambda c: F.array_distinct(F.split(F.replace(F.lower(c), F.lit("."), F.lit("")), " +"))
+    plain = F.array(*[F.lit(w) for w in ("v", "the", "of", "")])
+    c = canon.select("cite", F.col("name").alias("canon"), words(F.col("name")).alias("w"))
+    n = nodes.where("cite <> ''").select(F.replace("cite", F.lit("U. S."), F.lit("U.S.")).alias("cite"), F.col("id").alias("node"), words(F.col("name")).alias("v"), "is_real", "cited_all")
+    shared = F.size(F.array_intersect(F.array_except("w", plain), F.col("v")))
+    exact = c.join(n, "cite").groupBy("cite", "canon").agg(F.max_by("node", F.struct(shared, "is_real", "cited_all", -F.col("node"))).alias("node"))
+    volume = F.substring_index("cite", " U.S.", 1)
+    near = c.withColumn("volume", volume).join(n.select(volume.alias("volume"), "node", "v"), "volume").where(F.arrays_overlap("w", "v"))
+    near = near.groupBy("cite", "canon").agg(F.min("node").alias("near"))
+    out = c.select("cite", "canon").join(exact, ["cite", "canon"], "left").join(near, ["cite", "canon"], "left")
+    return out.select("cite", F.col("canon").alias("name"), F.coalesce("node", "near").alias("node")).where("node is not null")

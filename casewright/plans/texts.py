@@ -211,3 +211,34 @@ def merge_duplicates(spark, d):
     return merge_map(part.select(
         F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_brand", F.col("p_size").cast("string")).alias("cite"), F.col("p_name").alias("name"), F.lit("").alias("date"), F.lit("1900").alias("year"), (F.col("p_partkey") % 5 + 1).alias("degree"),
     ))
+
+
+@query("""WITH n AS (SELECT p_partkey AS id, p_name AS name, p_size || ' U.S. ' || p_partkey % 40 AS cite, p_size > 25 AS is_real, p_partkey % 17 AS cited_all FROM part),
+c AS (SELECT p_partkey AS k, p_size || ' U.S. ' || (p_partkey * 3) % 60 AS cite, p_name AS name FROM part WHERE p_partkey % 20 = 0),
+x AS (SELECT DISTINCT cite, name, list_distinct(string_split(lower(name), ' ')) AS w FROM c),
+e AS (SELECT x.cite, x.name, arg_max(id, (len(list_intersect(w, list_distinct(string_split(lower(n.name), ' ')))), is_real, cited_all, -id)) AS node FROM x JOIN n ON n.cite = x.cite GROUP BY ALL),
+v AS (SELECT x.cite, x.name, min(id) AS near FROM x JOIN n ON split_part(n.cite, ' U.S.', 1) = split_part(x.cite, ' U.S.', 1) WHERE len(list_intersect(w, list_distinct(string_split(lower(n.name), ' ')))) > 0 GROUP BY ALL)
+SELECT x.cite, x.name, coalesce(node, near) AS node FROM x LEFT JOIN e USING (cite, name) LEFT JOIN v USING (cite, name) WHERE coalesce(node, near) IS NOT NULL""")
+def canon_resolve(spark, d):
+    part = table(spark, d, "part")
+    cite = lambda page: F.concat(F.col("p_size"), F.lit(" U.S. "), page)
+    nodes = part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), cite(F.col("p_partkey") % 40).alias("cite"), (F.col("p_size") > 25).alias("is_real"), (F.col("p_partkey") % 17).alias("cited_all"))
+    canon = part.where("p_partkey % 20 = 0").select(cite(F.col("p_partkey") * 3 % 60).alias("cite"), F.col("p_name").alias("name")).distinct()
+    return V.canon_nodes(canon, nodes)
+
+
+@query("""WITH n AS (SELECT p_partkey AS id, p_name AS name, p_size AS cites, [p_partkey, p_partkey % 7] AS opinions, p_partkey - p_partkey % 3 AS canonical FROM part WHERE p_partkey >= 3),
+f AS (SELECT canonical, CAST(sum(cites) AS BIGINT) AS cites, list_sort(list_distinct(flatten(list(opinions)))) AS opinions, coalesce(list_sort(list(id) FILTER (id <> canonical)), []) AS merged_ids FROM n GROUP BY 1)
+SELECT id, name, f.cites, f.opinions, f.merged_ids FROM n JOIN f ON f.canonical = n.id""")
+def merged_nodes(spark, d):
+    from casewright.operators.edges import merge_nodes
+
+    part = table(spark, d, "part").where("p_partkey >= 3")
+    nodes = part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_size").alias("cites"), F.array(F.col("p_partkey"), F.col("p_partkey") % 7).alias("opinions"))
+    fold = part.where("p_partkey % 3 <> 0").select(F.col("p_partkey").alias("id"), (F.col("p_partkey") - F.col("p_partkey") % 3).alias("canonical"))
+    return merge_nodes(nodes, fold, ["cites"], ["opinions"])
+
+
+@query("SELECT page_id, url_decode(split_part(url, '/', -1)) AS title FROM pages")
+def url_titles(spark, d):
+    return table(spark, d, "pages").select("page_id", T.url_title(F.col("url")).alias("title"))

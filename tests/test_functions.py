@@ -67,3 +67,12 @@ def test_summary():
     assert M.summarise(f'<section class="head-matter"><p class="summary">{long}</p></section><p>body</p>') == long
     assert M.summarise(f'<p>lower {long}</p><p>{long}<a class="page-label">12</a></p>') == long
     assert M.summarise(None) == ""
+
+
+def test_urls_paths_and_windows(spark):
+    assert value(spark, T.url_title(F.lit("https://x/wiki/A+b_%28c%29"))) == "A+b_(c)"
+    assert tuple(value(spark, T.volume_of(F.lit("data/cap/raw/s-ct/134.zip")))) == ("s-ct", 134)
+    with pytest.raises(Exception, match="not a volume"):
+        value(spark, T.volume_of(F.lit("x.zip")))
+    assert value(spark, T.around(F.lit("abc 1 U.S. 2 def"), F.lit("1 U.S. 2"), 2)) == "c 1 U.S. 2 d"
+    assert value(spark, T.around(F.lit("abc"), F.lit("z"))) is None

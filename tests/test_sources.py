@@ -95,3 +95,11 @@ def test_api(spark):
     assert case["cites"] == [1] and case["cited_by"] == [3] and api.stats() == {"nodes": 6, "real": 6, "edges": 5}
     routes = spark.createDataFrame([("any:0-3", [0, 1, 2, 3])], "key string, path array<long>")
     assert Api(nodes, edges, routes=routes).opponent(1, 1, 3, [0, 1])["move"] == 2
+
+
+def test_cache_only_grows_by_new_keys(spark, tmp_path):
+    from casewright.operators.export import append_new
+
+    for rows in ([(1, "a")], [(1, "b"), (2, "c")]):
+        append_new(str(tmp_path / "c"), spark.createDataFrame(rows, "k long, v string"), "k")
+    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "c")).collect())) == [(1, "a"), (2, "c")]
