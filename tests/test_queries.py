@@ -14,8 +14,8 @@ def test_equals_sql(spark, name):
 
 
 @pytest.mark.parametrize("name", sorted(set(core.queries()) - set(core.oracle_sql())))
-def test_runs(spark, name):
-    assert core.queries()[name](spark, SMALL).count() > 0
+def test_runs(spark, data, name):
+    assert core.queries()[name](spark, data).count() > 0
 
 
 def test_entry(spark):
