@@ -9,11 +9,12 @@ Which nodes meet at all is decided by prefixes: with shingles in one global orde
 share one of their first ``n - ceil(t * n) + 1``.  The order puts frequent shingles (of passages that many documents
 hold) last, so they seldom are in a prefix.  The nodes that share a prefix shingle form a bucket.
 
-1. Each bucket links its nodes to its smallest one; those pairs are bounded, verified on the full sets, and joined
-   into components.
-2. In buckets that still hold several components an R-tree over the points finds the other pairs across components
+1. Buckets with one and the same set of nodes count once.  In a few rounds each bucket that still holds several
+   components links its nodes to one of them (the smallest, then the best connected); those pairs are bounded,
+   verified on the full sets, and joined into components.
+2. In buckets that hold several components after that, R-trees over the points find all pairs across components
    whose bound suffices; they are verified too.  So no link between components is lost, while a group of near
-   copies costs a star of pairs rather than all of them.
+   copies costs a few stars of pairs rather than all of them.
 
 A bucket of more than ``CHUNK`` nodes is cut by hash into chunks, and each pair of chunks is a task of its own.
 Nothing is capped or sampled; counts that set the order only choose among equally correct orders.
@@ -25,7 +26,6 @@ component_id unless all ids of a component are null; repeated rows are linked li
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -54,7 +54,7 @@ def prefix_length(n: int, numerator: int = NUMERATOR) -> int:
 
 def points(hashes: np.ndarray) -> np.ndarray:
     """Counts of the groups (a power of two of them, about as many as shingles), as bytes."""
-    groups = 1 << max(4, int(len(hashes) - 1).bit_length() - 1)
+    groups = 1 << max(4, int(len(hashes) - 1).bit_length())
     while True:
         counts = np.bincount((hashes & np.uint64(groups - 1)).astype(np.int64), minlength=groups)
         if counts.max() < 256:
@@ -64,7 +64,7 @@ def points(hashes: np.ndarray) -> np.ndarray:
 
 def folded(point: np.ndarray, groups: int) -> np.ndarray:
     """The same node's point over fewer groups."""
-    return point.reshape(-1, groups).sum(axis=0) if len(point) > groups else point
+    return point.reshape(-1, groups).sum(axis=0, dtype=np.uint16) if len(point) > groups else point
 
 
 def bound(p: np.ndarray, q: np.ndarray) -> int:
@@ -74,19 +74,21 @@ def bound(p: np.ndarray, q: np.ndarray) -> int:
 
 
 class CountTree:
-    """Packed R-tree over points with equally many groups; two levels of boxes over leaves of ``LEAF`` points.
+    """Packed R-tree over points with equally many groups: levels of boxes over leaves of ``LEAF`` points.
 
     Points are packed in order of size, then of their coarse counts; a box keeps its largest coordinates and its
     sizes' range.
     """
 
     def __init__(self, rows: np.ndarray, sizes: np.ndarray, leaf: int = LEAF):
-        coarse = rows.reshape(len(rows), -1, min(8, rows.shape[1])).sum(axis=1)
-        self.order = np.lexsort((*coarse.T[::-1], sizes))
-        self.rows, self.sizes, self.leaf = rows[self.order].astype(np.int32), sizes[self.order], leaf
+        self.order = np.argsort(sizes, kind="stable")
+        if len(rows) > 2 * leaf:
+            coarse = rows.reshape(len(rows), -1, min(8, rows.shape[1])).sum(axis=1)
+            self.order = np.lexsort((*coarse.T[::-1], sizes))
+        self.rows, self.sizes, self.leaf = rows[self.order], sizes[self.order], leaf
         self.levels = []
         box, low, high = self.rows, self.sizes, self.sizes
-        for _ in range(2):
+        while len(box) > 2 * leaf:
             cuts = np.arange(0, len(box), leaf)
             box = np.maximum.reduceat(box, cuts, axis=0)
             low, high = np.minimum.reduceat(low, cuts), np.maximum.reduceat(high, cuts)
@@ -98,12 +100,16 @@ class CountTree:
         for box, low, high in reversed(self.levels):
             at = np.arange(len(box)) if at is None else self._below(at, len(box))
             at = at[(numerator * low[at] <= 100 * size) & (numerator * size <= 100 * high[at])]
-            at = at[np.minimum(box[at], q).sum(axis=1) >= needed(size + low[at], numerator)]
+            at = at[np.minimum(box[at], q).sum(axis=1, dtype=np.int64) >= needed(size + low[at], numerator)]
             if not len(at):
                 return at
-        at = self._below(at, len(self.rows))
-        at = at[(numerator * self.sizes[at] <= 100 * size) & (numerator * size <= 100 * self.sizes[at])]
-        at = at[np.minimum(self.rows[at], q).sum(axis=1) >= needed(size + self.sizes[at], numerator)]
+        if at is None:
+            lo, hi = np.searchsorted(self.sizes, [-(-numerator * size // 100), 100 * size // numerator + 1])
+            at = np.arange(lo, hi)
+        else:
+            at = self._below(at, len(self.rows))
+            at = at[(numerator * self.sizes[at] <= 100 * size) & (numerator * size <= 100 * self.sizes[at])]
+        at = at[np.minimum(self.rows[at], q).sum(axis=1, dtype=np.int64) >= needed(size + self.sizes[at], numerator)]
         return self.order[at]
 
     def _below(self, at: np.ndarray, n: int) -> np.ndarray:
@@ -164,85 +170,88 @@ def nodes_of(texts: DataFrame, words: int, numerator: int, hot: tuple[np.ndarray
 
 
 def buckets_of(postings: DataFrame) -> DataFrame:
-    """(token, node, leader) of tokens with several nodes, from (token, node) rows."""
+    """(token, node) of tokens with several nodes, from (token, node) rows; one token for each set of nodes."""
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        empty = np.empty(0, np.int64)
-        last = (None, None, False)  # token, its leader, whether the leader's row is out already
+        # Rows come in order; the last one waits until the next batch shows whether its token goes on.
+        token = node = np.empty(0, np.int64)
+        before = None  # token of the row before the waiting one
+
+        def several(token: np.ndarray, node: np.ndarray, after: int | None) -> pd.DataFrame:
+            same = token[1:] == token[:-1]
+            keep = np.r_[before is not None and before == token[0], same] | np.r_[same, after is not None and after == token[-1]]
+            return pd.DataFrame({"token": token[keep], "node": node[keep]})
+
         for b in batches:
-            token, node = b.token.to_numpy(np.int64), b.node.to_numpy(np.int64)
-            if not len(token):
-                continue
-            first = np.r_[True, token[1:] != token[:-1]]
-            start = np.flatnonzero(first)
-            leader = np.repeat(node[start], np.diff(np.r_[start, len(token)]))
-            head = (empty, empty, empty)
-            if last[0] == token[0]:
-                run = leader.copy()
-                run[: start[1] if len(start) > 1 else len(run)] = last[1]
-                leader = run
-            keep = node != leader
-            several = np.unique(token[keep])
-            lead = first & np.isin(token, several)
-            lead &= node == leader
-            if last[0] is not None and not last[2] and len(several) and np.isin(last[0], several):
-                head = (np.array([last[0]]), np.array([last[1]]), np.array([last[1]]))
-            keep |= lead
-            yield pd.DataFrame(
-                {
-                    "token": np.r_[head[0], token[keep]],
-                    "node": np.r_[head[1], node[keep]],
-                    "leader": np.r_[head[2], leader[keep]],
-                }
-            )
-            out = bool(np.isin(token[-1], several)) or (last[0] == token[-1] and last[2])
-            last = (token[-1], leader[-1], out)
+            new_token, new_node = b.token.to_numpy(np.int64), b.node.to_numpy(np.int64)
+            token, node = np.r_[token, new_token], np.r_[node, new_node]
+            new = np.r_[True, (token[1:] != token[:-1]) | (node[1:] != node[:-1])]  # a node's copies from other tasks
+            token, node = token[new], node[new]
+            if len(token) > 1:
+                yield several(token[:-1], node[:-1], token[-1])
+                before, token, node = token[-2], token[-1:], node[-1:]
+        if len(token):
+            yield several(token, node, None)
 
     dealt = postings.repartition("token").sortWithinPartitions("token", "node")
-    return dealt.mapInPandas(task, "token long, node long, leader long").distinct()
+    rows = cut(dealt.mapInPandas(task, "token long, node long"))
+    members = rows.groupBy("token").agg(
+        F.bit_xor(F.xxhash64("node")).alias("s"), F.bit_xor(F.xxhash64("node", F.lit("again"))).alias("t"), F.count(F.lit(1)).alias("k")
+    )
+    first = members.groupBy("s", "t", "k").agg(F.min("token").alias("token"))
+    return rows.join(first, "token", "left_semi")
 
 
 def across(rows: DataFrame, numerator: int) -> DataFrame:
     """(a, b): pairs of nodes of different components that the R-trees let through, from bucket chunks.
 
-    ``rows``: token, i, j (pair of chunks), h (own chunk), node, leader, label, n, point.
+    ``rows``: token, i, j (pair of chunks), h (own chunk), node, label, n, point.
     """
 
-    def pairs(rows: pd.DataFrame) -> list[tuple[int, int]]:
+    def pairs(rows: pd.DataFrame) -> np.ndarray:
         node, label = rows.node.to_numpy(), rows.label.to_numpy()
-        if len(rows) < 2 or label.min() == label.max():
-            return []
         size, h = rows.n.to_numpy(), rows.h.to_numpy()
-        own = [np.frombuffer(p, np.uint8) for p in rows.point]
+        own = [np.frombuffer(p, np.uint8).astype(np.uint16) for p in rows.point]
         groups = np.array([len(p) for p in own])
         trees = {}
         for g in np.unique(groups):
             at = np.flatnonzero(groups == g)
-            trees[g] = (at, CountTree(np.stack([own[k] for k in at]).astype(np.int32), size[at]))
-        i, j = rows.i.iat[0], rows.j.iat[0]
+            trees[g] = (at, CountTree(np.stack([own[k] for k in at]), size[at]))
+        names, counts = np.unique(label, return_counts=True)
+        most = names[counts.argmax()]
+        both = rows.i.iat[0] == rows.j.iat[0]
         out = []
-        for k, p in enumerate(own):
+        for k in np.flatnonzero(label != most):  # a pair across components has at least one such node
             for g, (at, tree) in trees.items():
-                if g > len(p):  # then the other one, of more groups, finds this one
-                    continue
-                found = at[tree.search(folded(p.astype(np.int32), g), int(size[k]), numerator)]
-                found = found[(label[found] != label[k]) & ((node[found] < node[k]) if g == len(p) else (node[found] != node[k]))]
-                if i != j:
+                # over the fewer groups of both: a larger one of the two is folded
+                if g <= groups[k]:
+                    found = at[tree.search(folded(own[k], g), int(size[k]), numerator)]
+                else:
+                    near = at[(numerator * size[at] <= 100 * size[k]) & (numerator * size[k] <= 100 * size[at])]
+                    found = np.array([x for x in near if np.minimum(folded(own[x], groups[k]), own[k]).sum(dtype=np.int64) >= needed(size[x] + size[k], numerator)], np.int64)
+                found = found[(label[found] != label[k]) & ((label[found] == most) | (node[found] < node[k]))]
+                if not both:
                     found = found[h[found] != h[k]]
-                out += [(min(node[k], node[x]), max(node[k], node[x])) for x in found]
-        return out
+                if len(found):
+                    out.append(np.stack([np.minimum(node[found], node[k]), np.maximum(node[found], node[k])]))
+        return np.unique(np.hstack(out), axis=1) if out else np.empty((2, 0), np.int64)
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
         for b in batches:
-            held = b if held is None else pd.concat([held, b], ignore_index=True)
-            key = held[["token", "i", "j"]]
-            same = (key == key.iloc[-1]).all(axis=1).to_numpy() if len(key) else np.empty(0, bool)
-            done, held = held[~same], held[same].reset_index(drop=True)  # the last bucket may go on
-            found = {p for _, rows in done.groupby(["token", "i", "j"], sort=False) for p in pairs(rows)}
-            yield pd.DataFrame(sorted(found), columns=["a", "b"], dtype=np.int64)
+            held = b if held is None or not len(held) else pd.concat([held, b], ignore_index=True)
+            if not len(held):
+                continue
+            key = held[["token", "i", "j"]].to_numpy()
+            starts = np.r_[0, np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1]
+            for lo, hi in zip(starts[:-1], starts[1:], strict=True):
+                a, b2 = pairs(held.iloc[lo:hi])
+                if len(a):
+                    yield pd.DataFrame({"a": a, "b": b2})
+            held = held.iloc[starts[-1] :].reset_index(drop=True)  # the last bucket may go on
         if held is not None and len(held):
-            yield pd.DataFrame(sorted(set(pairs(held))), columns=["a", "b"], dtype=np.int64)
+            a, b2 = pairs(held)
+            yield pd.DataFrame({"a": a, "b": b2})
 
     dealt = rows.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
     return dealt.mapInPandas(task, "a long, b long").distinct()
@@ -294,6 +303,10 @@ def _sets(documents: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     return rows.mapInPandas(task, "node long, hashes binary")
 
 
+#: Rounds of stars before the trees.
+ROUNDS = 2
+
+
 def jaccard_join(documents: DataFrame, words: int = 5, numerator: int = NUMERATOR) -> DataFrame:
     """doc_id, n_shingles, component_id, tk (hash of the text), node and links (verified in this run) of every row.
 
@@ -303,35 +316,49 @@ def jaccard_join(documents: DataFrame, words: int = 5, numerator: int = NUMERATO
     hot = frequent(texts.select("text"), words)
     rows = cut(nodes_of(texts, words, numerator, hot))
     first = rows.where("tokens is not null")
-    postings = first.select(F.explode_outer("tokens").alias("token"), "node")
-    buckets = cut(buckets_of(postings))
-    within = buckets.select("node").distinct()
-    info = first.join(within, "node", "left_semi").groupBy("node").agg(F.min(F.struct("tk", "n", "point")).alias("i"))
+    buckets = cut(buckets_of(first.select(F.explode_outer("tokens").alias("token"), "node")))
+    within = first.join(buckets.select("node").distinct(), "node", "left_semi")
+    info = within.groupBy("node").agg(F.min(F.struct("tk", "n", "point")).alias("i"))
     info = cut(info.select("node", "i.*"))
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(info.select("node", "tk"), "node")
-        return cut(_jaccard(pairs, cut(_sets(documents, cut(wanted), words)), numerator))
-
-    stars = buckets.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-    links = [verified(cut(_bounded(stars, info, numerator)))]
-    labels = components(links[0])
-
-    # Buckets of several components, and three nodes at least: pairs with the leader are settled.
-    marked = buckets.join(labels, "node", "left").select("token", "node", "leader", F.coalesce("label", "node").alias("label"))
-    marked = cut(marked)
-    mixed = marked.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("k"))
-    mixed = mixed.where("low < high and k > 2").select("token", F.ceil(F.col("k") / CHUNK).cast("int").alias("chunks"))
-    rest = marked.where("node <> leader").join(mixed, "token").join(info.select("node", "n", "point"), "node")
-    rest = rest.withColumn("h", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
-    rest = rest.select("*", F.explode_outer(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
-    rest = rest.select("token", F.least("h", "other").alias("i"), F.greatest("h", "other").alias("j"), "h", "node", "label", "n", "point")
-    more = cut(across(rest, numerator))
-    if not more.isEmpty():
-        links.append(verified(more))
-        labels = components(reduce(DataFrame.unionAll, links))
-
-    degree = reduce(DataFrame.unionAll, [x.select(F.col(c).alias("node")) for x in links for c in ("a", "b")]).groupBy("node").agg(F.count(F.lit(1)).alias("links"))
+    spark = documents.sparkSession
+    links = spark.createDataFrame([], "a long, b long")
+    tested = links
+    labels = spark.createDataFrame([], "node long, label long")
+    sets = spark.createDataFrame([], "node long, hashes binary")  # of nodes whose bound has sufficed so far
+    for turn in range(ROUNDS + 1):
+        # Buckets that still hold several components.
+        degree = links.select(F.col("a").alias("node")).unionAll(links.select("b")).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
+        marked = buckets.select("token", "node").join(labels, "node", "left").join(degree, "node", "left")
+        marked = cut(marked.select("token", "node", F.coalesce("label", "node").alias("label"), F.coalesce("degree", F.lit(0)).alias("degree")))
+        leader = F.max_by("node", F.struct("degree", -F.col("node")))
+        mixed = marked.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("k"), leader.alias("leader"))
+        mixed = mixed.where("low < high").select("token", "leader", F.ceil(F.col("k") / CHUNK).cast("int").alias("chunks"))
+        buckets = marked.join(mixed, "token")
+        if turn < ROUNDS:
+            pairs = buckets.where("node <> leader").select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct()
+        else:
+            parts = buckets.join(info.select("node", "n", "point"), "node").withColumn("h", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+            parts = parts.select("*", F.explode_outer(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
+            parts = parts.select("token", F.least("h", "other").alias("i"), F.greatest("h", "other").alias("j"), "h", "node", "label", "n", "point")
+            pairs = across(parts, numerator)
+        pairs = cut(pairs.join(tested, ["a", "b"], "left_anti"))
+        if pairs.isEmpty():
+            if turn < ROUNDS:
+                buckets = cut(buckets.select("token", "node"))
+                continue
+            break
+        near = cut(_bounded(pairs, info, numerator))
+        wanted = near.select(F.col("a").alias("node")).union(near.select("b")).distinct().join(sets, "node", "left_anti")
+        wanted = cut(wanted.join(info.select("node", "tk"), "node"))
+        if not wanted.isEmpty():
+            sets = sets.unionAll(cut(_sets(documents, wanted, words)))
+        more = cut(_jaccard(near, sets, numerator))
+        links, tested = cut(links.unionAll(more)), cut(tested.unionAll(pairs))
+        labels = components(links)
+        buckets = cut(buckets.select("token", "node"))
+
+    degree = links.select(F.col("a").alias("node")).unionAll(links.select("b")).groupBy("node").agg(F.count(F.lit(1)).alias("links"))
     named = rows.join(labels, "node", "left").join(degree, "node", "left")
     named = named.select("doc_id", "tk", "n", "node", F.coalesce("label", "node").alias("label"), F.coalesce("links", F.lit(0)).alias("links"))
     named = cut(named)
