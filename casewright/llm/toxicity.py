@@ -290,14 +290,14 @@ def choose(both: pd.DataFrame) -> tuple[list[str], list[str], np.ndarray]:
     stem or a word that begins with a kept stem adds nothing.
     """
     words = both[~both.stem].set_index("name")
-    stems = both[both.stem].sort_values(["name"], key=lambda s: s.str.len(), kind="stable")
+    stems = sorted(both[both.stem][["name", "n", "evidence"]].itertuples(index=False), key=lambda r: (len(r.name), r.name))
     heaviest: dict[str, int] = {}
     for w, n in zip(words.index, words.n, strict=True):
         for k in STEM_LENGTHS:
             if len(w) > k:
                 heaviest[w[:k]] = max(heaviest.get(w[:k], 0), n)
     kept: dict[str, float] = {}
-    for name, n, evidence in stems.sort_values(["name"]).sort_values("name", key=lambda s: s.str.len(), kind="stable")[["name", "n", "evidence"]].itertuples(index=False):
+    for name, n, evidence in stems:
         if n >= 1.6 * heaviest.get(name, 0) and not any(name[:k] in kept for k in STEM_LENGTHS):
             kept[name] = evidence
     alone = words[[not any(w[:k] in kept for k in STEM_LENGTHS) for w in words.index]]
