@@ -308,7 +308,8 @@ ROUNDS = 2
 
 
 def jaccard_join(documents: DataFrame, words: int = 5, numerator: int = NUMERATOR) -> DataFrame:
-    """doc_id, n_shingles, component_id, tk (hash of the text), node and links (verified in this run) of every row.
+    """doc_id, n_shingles, component_id, tk (hash of the text), node, label (smallest node of the component) and links
+    (verified in this run) of every row.
 
     Columns doc_id and text are read.
     """
@@ -365,16 +366,18 @@ def jaccard_join(documents: DataFrame, words: int = 5, numerator: int = NUMERATO
     smallest = named.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id"))
     out = named.join(smallest, "label", "left")
     own = F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), "tk", "node", F.col("links").cast("long").alias("links"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), "tk", "node", "label", F.col("links").cast("long").alias("links"))
 
 
 def keep_one(documents: DataFrame, words: int = 5, numerator: int = NUMERATOR) -> DataFrame:
-    """``documents`` with one row of each component (smallest doc_id, then hash of the text), all columns kept."""
-    found = cut(jaccard_join(documents, words, numerator).where("node is not null").select("doc_id", "component_id", "tk"))
-    per_text = found.groupBy("component_id", "doc_id", "tk").agg(F.count(F.lit(1)).alias("k"))
-    best = per_text.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tk")).alias("w"))
-    same = per_text.component_id.eqNullSafe(best.component_id)
-    judged = per_text.join(best, same).select("doc_id", "tk", "k", (per_text.doc_id.eqNullSafe(F.col("w.doc_id")) & (F.col("tk") == F.col("w.tk"))).alias("stays"))
+    """``documents`` with one row of each component (smallest doc_id, then hash of the text), all columns kept.
+
+    Components are told apart by their label: a component_id may be null or shared where doc_ids are null or repeated.
+    """
+    found = cut(jaccard_join(documents, words, numerator).where("node is not null").select("doc_id", "label", "tk"))
+    per_text = found.groupBy("label", "doc_id", "tk").agg(F.count(F.lit(1)).alias("k"))
+    best = per_text.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tk")).alias("w"))
+    judged = per_text.join(best, "label").select("doc_id", "tk", "k", (F.col("doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("tk") == F.col("w.tk"))).alias("stays"))
     judged = cut(judged.where("not stays or k > 1").select(F.col("doc_id").alias("__id"), F.col("tk").alias("__tk"), "stays"))
     n = judged.count()
     side = F.broadcast(judged) if n <= BROADCAST_ROWS else judged

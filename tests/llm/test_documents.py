@@ -112,6 +112,15 @@ def test_keep_one_keeps_a_row_of_each_group(spark):
     assert sum(1 for d, t in rows if not (t or "").split()) == 3  # texts without words all stay
 
 
+def test_keep_one_tells_components_with_one_id_apart(spark):
+    """Several null ids, and one id over unrelated texts: every component keeps a row."""
+    texts = [" ".join(f"t{k}w{i}" for i in range(30)) for k in range(5)]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[1] + " tail"), (None, texts[1]), (7, texts[2]), (7, texts[3]), (7, texts[4]), (9, texts[4] + " tail")]
+    kept = [(r.doc_id, r.text) for r in ngram_join.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()]
+    assert len(kept) == 5 and {(None, texts[0]), (7, texts[2]), (7, texts[3]), (7, texts[4])} < set(kept)
+    assert {t for d, t in kept if d is None} - {texts[0]} < {texts[1], texts[1] + " tail"}
+
+
 # --- sharding -----------------------------------------------------------------------------------------------------
 
 
