@@ -179,6 +179,15 @@ def starters_oriented(spark, d):
 @query(f"""WITH RECURSIVE {G_EDGES}, {G_NODES}, canon AS MATERIALIZED (SELECT id FROM g_nodes WHERE is_real AND id % 97 = 0 AND id < 1500), {_bfs("any", 3, "SELECT id FROM canon")}
 SELECT source AS a, dist.id AS b, d FROM dist JOIN canon ON canon.id = dist.id WHERE d BETWEEN 2 AND 3 AND source < dist.id""")
 def canon_pairs(spark, d):
+    return _canon_pairs(spark, d, "is_real and id % 97 = 0 and id < 1500")
+
+
+@query(R.sql_without("canon_pairs", " AND id % 97 = 0 AND id < 1500"))
+def canon_pairs_all(spark, d):
+    return _canon_pairs(spark, d, "is_real")
+
+
+def _canon_pairs(spark, d, chosen):
     e = graph_edges(spark, d).persist()
-    canon = graph_nodes(spark, d, e).where("is_real and id % 97 = 0 and id < 1500").withColumn("has_text", F.lit(True)).persist()
+    canon = graph_nodes(spark, d, e).where(chosen).withColumn("has_text", F.lit(True)).persist()
     return Z.usable_pairs(P.distances(e, canon, 3), canon)

@@ -22,3 +22,10 @@ class Registry:
             return f
 
         return add
+
+    def sql_without(self, name: str, old: str, new: str = "") -> str:
+        """The SQL of a query over a part of its input, with that limit taken out (or another one put in)."""
+        sql = self.sql[name]
+        if old not in sql:
+            raise ValueError(f"the SQL of {name} does not hold {old!r}")
+        return sql.replace(old, new)

@@ -18,7 +18,16 @@ query = R.query
 @query(f"""WITH n AS (SELECT p_size AS k, p_name, {_NAME("p_name")} AS t FROM (SELECT DISTINCT p_size, p_name FROM part WHERE p_size <= 5))
 SELECT a.k, a.p_name AS a, b.p_name AS b, round({_overlap("a.t", "b.t")}, 6) AS overlap, round({_jaccard("a.t", "b.t")}, 6) AS jaccard FROM n a JOIN n b ON a.k = b.k AND a.p_name < b.p_name""")
 def name_overlap_pairs(spark, d):
-    n = table(spark, d, "part").where("p_size <= 5").select(F.col("p_size").alias("k"), F.col("p_name").alias("a")).distinct()
+    return _name_pairs(table(spark, d, "part").where("p_size <= 5"))
+
+
+@query(R.sql_without("name_overlap_pairs", " WHERE p_size <= 5"))
+def name_overlap_pairs_all(spark, d):
+    return _name_pairs(table(spark, d, "part"))
+
+
+def _name_pairs(part):
+    n = part.select(F.col("p_size").alias("k"), F.col("p_name").alias("a")).distinct()
     rows = n.join(n.withColumnRenamed("a", "b"), "k").where("a < b")
     a, b = T.name_tokens(F.col("a")), T.name_tokens(F.col("b"))
     return rows.select("k", "a", "b", F.round(T.overlap(a, b), 6).alias("overlap"), F.round(T.jaccard(a, b), 6).alias("jaccard"))
@@ -186,7 +195,16 @@ def clip_text(spark, d):
 @query(f"""WITH i AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[a-z]{{5,}}')) AS b FROM benchmark WHERE item_id < 5), w AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z]{{5,}}')) AS a FROM documents)
 SELECT doc_id, item_id, round(4 * {_jaccard("a", "b")}, 4) AS score FROM w, i""")
 def word_jaccard_judge(spark, d):
-    items = table(spark, d, "benchmark").where("item_id < 5").select("item_id", T.long_words(F.col("text")).alias("b"))
+    return _judged(spark, d, table(spark, d, "benchmark").where("item_id < 5"))
+
+
+@query(R.sql_without("word_jaccard_judge", " WHERE item_id < 5"))
+def word_jaccard_judge_all(spark, d):
+    return _judged(spark, d, table(spark, d, "benchmark"))
+
+
+def _judged(spark, d, items):
+    items = items.select("item_id", T.long_words(F.col("text")).alias("b"))
     docs = table(spark, d, "documents").select("doc_id", T.long_words(F.col("text")).alias("a"))
     return docs.join(F.broadcast(items)).select("doc_id", "item_id", F.round(T.jaccard(F.col("a"), F.col("b")) * 4, 4).alias("score"))
 

@@ -1,0 +1,26 @@
+"""Queries over whole tables, beside those over a part: every row of the part's result, and the rest."""
+
+import pytest
+from oracle import compare, rows_of
+
+from casewright import queries as core
+
+SMALL = "/root/testdata/sf0.001"
+#: Queries of rows that each depend on their own keys alone, so the part's rows are among the whole's.
+LARGER = ["name_overlap_pairs", "word_jaccard_judge", "canon_pairs"]
+
+
+def result(spark, name):
+    df = core.queries()[name](spark, SMALL)
+    return rows_of([tuple(r) for r in df.collect()], df.columns)
+
+
+@pytest.mark.parametrize("name", LARGER)
+def test_whole_holds_the_part_and_more(spark, name):
+    part, whole = set(result(spark, name)), set(result(spark, f"{name}_all"))
+    assert part < whole
+
+
+@pytest.mark.parametrize("name", LARGER)
+def test_whole_equals_sql(spark, name):
+    compare(spark, SMALL, core.queries()[f"{name}_all"], core.oracle_sql()[f"{name}_all"])
