@@ -28,6 +28,11 @@ def component_sizes(spark, d):
     return S.component_sizes(graph_edges(spark, d).where("citing % 3 = 0"))
 
 
+@query(R.sql_without("component_sizes", " WHERE citing % 3 = 0"))
+def component_sizes_all(spark, d):
+    return S.component_sizes(graph_edges(spark, d))
+
+
 @query(f"WITH RECURSIVE {G_EDGES}, {_COMPONENTS.format('weight > 1')} SELECT id, label FROM reach")
 def many_components(spark, d):
     return components(graph_edges(spark, d).where("weight > 1"), "citing", "cited").select(F.col("node").alias("id"), "label")
@@ -39,6 +44,11 @@ def giant_component(spark, d):
     return E.giant(graph_edges(spark, d).where("citing % 3 = 0"))
 
 
+@query(R.sql_without("giant_component", " WHERE citing % 3 = 0"))
+def giant_component_all(spark, d):
+    return E.giant(graph_edges(spark, d))
+
+
 _FOLD = f"""{G_EDGES}, {G_META}, m AS MATERIALIZED (SELECT id, year, cite, {_NAME("name")} AS t, {_PLAIN("name")} AS p FROM g_meta),
 ok AS MATERIALIZED (SELECT citing, cited, a.year = b.year AND (a.cite = b.cite OR {_jaccard("a.t", "b.t")} >= 0.6) AS same FROM g_edges JOIN m a ON a.id = citing JOIN m b ON b.id = cited WHERE NOT b.year > a.year),
 deg AS MATERIALIZED (SELECT id, count(*) AS n FROM (SELECT citing AS id FROM ok UNION ALL SELECT cited FROM ok) GROUP BY id),

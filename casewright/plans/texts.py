@@ -59,10 +59,18 @@ ct AS MATERIALIZED (SELECT row_number() OVER (ORDER BY l_orderkey, l_partkey, l_
 @query(f"""WITH {_RANGES} SELECT v || ' U. S. ' || page AS cite, min(id) AS id FROM (SELECT DISTINCT v, page FROM ct) c JOIN rg ON rg.volume = v AND page BETWEEN first AND last
 GROUP BY v, page HAVING count(DISTINCT id) = 1""")
 def page_range_join(spark, d):
+    return _paged(spark, d, table(spark, d, "lineitem").where("l_orderkey % 10 = 0"))
+
+
+@query(R.sql_without("page_range_join", " WHERE l_orderkey % 10 = 0"))
+def page_range_join_all(spark, d):
+    return _paged(spark, d, table(spark, d, "lineitem"))
+
+
+def _paged(spark, d, li):
     page = F.col("p_partkey") % 90 + 1
     cite = F.concat(F.col("p_size"), F.lit(" U. S. "), page)
     cases = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.array(cite).alias("cites"), page.cast("string").alias("first_page"), (page + F.col("p_partkey") % 3).cast("string").alias("last_page"))
-    li = table(spark, d, "lineitem").where("l_orderkey % 10 = 0")
     text = F.concat(F.col("l_partkey") % 50 + 1, F.lit(" U. S. "), F.col("l_suppkey") % 95 + 1)
     cites = li.select(text.alias("cite")).distinct().withColumn("ref", F.col("cite"))
     return V.page_hits(cites, V.page_ranges(cases)).select(F.col("ref").alias("cite"), "id")
@@ -238,10 +246,19 @@ e AS (SELECT x.cite, x.name, arg_max(id, (len(list_intersect(w, list_distinct(st
 v AS (SELECT x.cite, x.name, min(id) AS near FROM x JOIN n ON split_part(n.cite, ' U.S.', 1) = split_part(x.cite, ' U.S.', 1) WHERE len(list_intersect(w, list_distinct(string_split(lower(n.name), ' ')))) > 0 GROUP BY ALL)
 SELECT x.cite, x.name, coalesce(node, near) AS node FROM x LEFT JOIN e USING (cite, name) LEFT JOIN v USING (cite, name) WHERE coalesce(node, near) IS NOT NULL""")
 def canon_resolve(spark, d):
+    return _canon_resolved(spark, d, "p_partkey % 20 = 0")
+
+
+@query(R.sql_without("canon_resolve", " WHERE p_partkey % 20 = 0"))
+def canon_resolve_all(spark, d):
+    return _canon_resolved(spark, d, "true")
+
+
+def _canon_resolved(spark, d, chosen):
     part = table(spark, d, "part")
     cite = lambda page: F.concat(F.col("p_size"), F.lit(" U.S. "), page)
     nodes = part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), cite(F.col("p_partkey") % 40).alias("cite"), (F.col("p_size") > 25).alias("is_real"), (F.col("p_partkey") % 17).alias("cited_all"))
-    canon = part.where("p_partkey % 20 = 0").select(cite(F.col("p_partkey") * 3 % 60).alias("cite"), F.col("p_name").alias("name")).distinct()
+    canon = part.where(chosen).select(cite(F.col("p_partkey") * 3 % 60).alias("cite"), F.col("p_name").alias("name")).distinct()
     return V.canon_nodes(canon, nodes)
 
 

@@ -4,10 +4,11 @@ import pytest
 from oracle import compare, rows_of
 
 from casewright import queries as core
+from casewright.plans.standins import graph_edges
 
 SMALL = "/root/testdata/sf0.001"
 #: Queries of rows that each depend on their own keys alone, so the part's rows are among the whole's.
-LARGER = ["name_overlap_pairs", "word_jaccard_judge", "canon_pairs"]
+LARGER = ["name_overlap_pairs", "word_jaccard_judge", "canon_pairs", "page_range_join", "cited_by_sorted", "cites_sorted", "canon_resolve", "giant_component"]
 
 
 def result(spark, name):
@@ -21,6 +22,12 @@ def test_whole_holds_the_part_and_more(spark, name):
     assert part < whole
 
 
-@pytest.mark.parametrize("name", LARGER)
+def test_component_sizes_cover_every_end_of_an_edge(spark):
+    edges = graph_edges(spark, SMALL)
+    ends = edges.select("citing").union(edges.select("cited")).distinct().count()
+    assert sum(n * size for n, size in result(spark, "component_sizes_all")) == ends
+
+
+@pytest.mark.parametrize("name", [*LARGER, "component_sizes"])
 def test_whole_equals_sql(spark, name):
     compare(spark, SMALL, core.queries()[f"{name}_all"], core.oracle_sql()[f"{name}_all"])
