@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from casewright.operators.components import components
 from casewright.operators.edges import degrees
-from casewright.operators.paths import distances
+from casewright.operators.paths import distances, pair_distances
 
 # Lower bounds of the two reports' degree bins.
 BINS_A = [0, 1, 2, 3, 6, 11, 21, 51, 101, 501]
@@ -65,10 +65,14 @@ def sample_pairs(nodes: DataFrame, n: int, seed: int = 1) -> DataFrame:
     return a.join(b, "r").where("a <> b").select("a", "b")
 
 
-def path_lengths(edges: DataFrame, pairs: DataFrame, depth: int, mode: str = "any") -> DataFrame:
-    """(length, n, share, running): pairs by distance; length null for those beyond ``depth`` or unreachable."""
-    found = distances(edges, pairs.select(F.col("a").alias("id")).distinct(), depth, mode)
-    met = pairs.join(found.select(F.col("source").alias("a"), F.col("id").alias("b"), "d"), ["a", "b"], "left")
+def path_lengths(edges: DataFrame, pairs: DataFrame, depth: int | None, mode: str = "any") -> DataFrame:
+    """(length, n, share, running): pairs by distance; length null for those beyond ``depth`` (None: no bound) or unreachable."""
+    if depth is None:
+        found = pair_distances(edges, pairs, mode)
+    else:
+        found = distances(edges, pairs.select(F.col("a").alias("id")).distinct(), depth, mode)
+        found = found.select(F.col("source").alias("a"), F.col("id").alias("b"), "d")
+    met = pairs.join(found, ["a", "b"], "left")
     counted = met.groupBy(F.col("d").alias("length")).agg(F.count(F.lit(1)).alias("n"))
     every, upto = Window.partitionBy(), Window.orderBy(F.col("length").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
     total = F.sum("n").over(every)

@@ -128,10 +128,20 @@ def shortest_path_lex(spark, d):
 {_bfs("any", 4, "SELECT DISTINCT a AS id FROM prs")}, c AS (SELECT d AS length, count(*) AS n FROM prs LEFT JOIN dist ON source = a AND id = b WHERE a <> b GROUP BY d)
 SELECT length, n, round(n / sum(n) OVER (), 6) AS share, round(sum(n) OVER (ORDER BY length NULLS LAST) / sum(n) OVER (), 6) AS running FROM c""")
 def path_length_hist(spark, d):
+    return _path_lengths(spark, d, 4)
+
+
+@query()
+def path_length_hist_all(spark, d):
+    """Paths of any length; a recursive query has no way to stop where all pairs are settled, so there is no SQL."""
+    return _path_lengths(spark, d, None)
+
+
+def _path_lengths(spark, d, depth):
     orders = table(spark, d, "orders")
     n = orders.agg(F.count(F.lit(1)).alias("n"))
     pairs = orders.where("o_orderkey % 1000 = 0").join(F.broadcast(n)).select(F.col("o_orderkey").alias("a"), ((F.col("o_orderkey") * 7 + 13) % F.col("n")).alias("b")).where("a <> b").distinct()
-    return S.path_lengths(graph_edges(spark, d), pairs, 4)
+    return S.path_lengths(graph_edges(spark, d), pairs, depth)
 
 
 @query(f"""WITH RECURSIVE {G_EDGES}, {G_NODES}, {_bfs("any", 5, "SELECT 10 AS id")}
@@ -156,14 +166,29 @@ def opponent_candidates(spark, d):
     return Z.opponent_candidates(e, graph_nodes(spark, d, e), 10, 200, [3], depth=5)
 
 
+@query(R.sql_without("opponent_candidates", "WHERE d < 5", "WHERE d < 9"))
+def opponent_candidates_all(spark, d):
+    e = graph_edges(spark, d).persist()
+    return Z.opponent_candidates(e, graph_nodes(spark, d, e), 10, 200, [3])
+
+
 @query(f"""WITH {G_EDGES}, {G_NODES}, c AS (SELECT citing AS race, cited AS id, weight + cited % 5 AS score, cited_all FROM g_edges JOIN g_nodes ON id = cited),
 k AS (SELECT *, row_number() OVER (PARTITION BY race ORDER BY cited_all DESC, id) AS r FROM c)
 SELECT race, id, score FROM (SELECT *, row_number() OVER (PARTITION BY race ORDER BY score DESC, cited_all DESC, id) AS w FROM k WHERE r <= 3) WHERE w = 1""")
 def race_step_argmax(spark, d):
+    return _race_steps(spark, d, 3)
+
+
+@query(R.sql_without("race_step_argmax", "r <= 3", "r <= 60"))
+def race_step_argmax_all(spark, d):
+    return _race_steps(spark, d, 60)
+
+
+def _race_steps(spark, d, cap):
     e = graph_edges(spark, d).persist()
     n = graph_nodes(spark, d, e)
     rows = e.join(n, F.col("cited") == n.id).select(F.col("citing").alias("race"), "id", (F.col("weight") + F.col("cited") % 5).alias("score"), "cited_all")
-    return Z.best_steps(Z.most_cited(rows, 3))
+    return Z.best_steps(Z.most_cited(rows, cap))
 
 
 @query("""WITH r AS (SELECT conv_id AS key, list(length(text) ORDER BY turn) AS path FROM conversations GROUP BY 1),

@@ -1,9 +1,13 @@
 """Queries over whole tables, beside those over a part: every row of the part's result, and the rest."""
 
+import random
+from collections import Counter, deque
+
 import pytest
 from oracle import compare, rows_of
 
 from casewright import queries as core
+from casewright.operators import stats as S
 from casewright.plans.standins import graph_edges
 
 SMALL = "/root/testdata/sf0.001"
@@ -28,6 +32,30 @@ def test_component_sizes_cover_every_end_of_an_edge(spark):
     assert sum(n * size for n, size in result(spark, "component_sizes_all")) == ends
 
 
-@pytest.mark.parametrize("name", [*LARGER, "component_sizes"])
+def test_path_lengths_have_no_bound(spark):
+    """A chain with branches and a part that is out of reach, against a search from every start."""
+    rng = random.Random(3)
+    edges = [(i, i + 1) for i in range(12)] + [(rng.randrange(12), 20 + i) for i in range(6)] + [(40, 41)]
+    beside = {}
+    for a, b in edges:
+        beside.setdefault(a, set()).add(b)
+        beside.setdefault(b, set()).add(a)
+    pairs = [(0, 12), (0, 11), (12, 0), (3, 3), (5, 9), (0, 40), (41, 40), (99, 0), *[(rng.randrange(26), rng.randrange(26)) for _ in range(20)]]
+    pairs = sorted(set(pairs))
+    want = Counter()
+    for a, b in pairs:
+        far, todo = {a: 0}, deque([a])
+        while todo:
+            x = todo.popleft()
+            for y in beside.get(x, ()):
+                if y not in far:
+                    far[y] = far[x] + 1
+                    todo.append(y)
+        want[far.get(b)] += 1
+    got = S.path_lengths(spark.createDataFrame(edges, "citing long, cited long"), spark.createDataFrame(pairs, "a long, b long"), None)
+    assert {r.length: r.n for r in got.collect()} == dict(want) and max(x for x in want if x is not None) == 12
+
+
+@pytest.mark.parametrize("name", [*LARGER, "component_sizes", "opponent_candidates", "race_step_argmax"])
 def test_whole_equals_sql(spark, name):
     compare(spark, SMALL, core.queries()[f"{name}_all"], core.oracle_sql()[f"{name}_all"])
