@@ -177,9 +177,10 @@ class LexiconAutomaton:
         return start[order], end[order], accept[order]
 
 
-def quotation(text: str, start: int, end: int) -> tuple[float, float]:
-    """How much the window around a hit speaks for quotation, and for abuse (each 0 to 1)."""
-    before, after = text[max(0, start - WINDOW) : start], text[end : end + WINDOW]
+def quotation(text: str, start: int, end: int, low: int = 0, high: int | None = None) -> tuple[float, float]:
+    """How much the window around a hit, within ``low`` to ``high``, speaks for quotation, and for abuse (each 0 to 1)."""
+    high = len(text) if high is None else high
+    before, after = text[max(low, start - WINDOW) : start], text[end : min(high, end + WINDOW)]
     marks = any(c in QUOTES for c in before[-12:]) and any(c in QUOTES for c in after[:12])
     words = set(WORD.findall(before)) | set(WORD.findall(after))
     return min(1.0, 0.6 * marks + 0.4 * bool(words & REPORTING)), float(bool(words & ADDRESS))
@@ -209,7 +210,7 @@ class ToxicityModel:
             rows = np.searchsorted(offset, start, side="right") - 1 + lo
             for r, s, e, a in zip(rows.tolist(), start.tolist(), end.tolist(), accept.tolist(), strict=True):
                 name, distance = divmod(a, 3)
-                quoted, abusive = quotation(joined, s, e)
+                quoted, abusive = quotation(joined, s, e, int(offset[r - lo]), int(offset[r - lo + 1]) - 1)
                 weight = self.evidence[name, distance]
                 own = weight * (1 - 0.7 * quoted)
                 f = x[r]

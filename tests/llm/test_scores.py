@@ -81,6 +81,15 @@ def test_quotation_is_told_from_abuse():
     assert toxicity.quotation("you are a fool", 10, 14) == (0.0, 1.0)
 
 
+def test_window_ends_with_the_text():
+    """A text's features do not depend on the texts beside it."""
+    import numpy as np
+
+    model = toxicity.ToxicityModel(LexiconAutomaton(["idiot"], []), np.ones((1, 3)), 0.0)
+    texts = ["idiot", 'you said "', "an idiot", '" they wrote to you', "", "idiot"]
+    assert model.features(texts).tolist() == [model.features([t])[0].tolist() for t in texts]
+
+
 def test_awkward_rows_and_missing_labels(spark):
     docs = X.documents(spark)
     none = spark.createDataFrame([(None, None, None), (1, None, None)], X.LABELS)
