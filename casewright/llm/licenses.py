@@ -87,10 +87,10 @@ FAMILIES = [
     ("public-domain", "domain", r"(?:in|into|to) the public domain", "public domain"),
     ("cc-by", "attribution", r"creative commons attribution(?: [1-4] 0)?(?: international| unported)?(?: licen[cs]e)?", "cc by"),
     ("cc-by-sa", "sharealike|alike", r"creative commons attribution share ?alike(?: [1-4] 0)?(?: international| unported)?(?: licen[cs]e)?", "cc by sa"),
-    ("cc-by-nd", "derivatives|noderivs", r"creative commons attribution no ?deriv(?:ative)?s(?: works)?(?: [1-4] 0)?", "cc by nd"),
+    ("cc-by-nd", "deriv", r"creative commons attribution no ?deriv(?:ative)?s(?: works)?(?: [1-4] 0)?", "cc by nd"),
     ("cc-by-nc", "noncommercial|commercial", r"creative commons attribution non ?commercial(?: [1-4] 0)?(?: international| unported)?(?: licen[cs]e)?", "cc by nc"),
     ("cc-by-nc-sa", "alike|sharealike", r"creative commons attribution non ?commercial share ?alike(?: [1-4] 0)?", "cc by nc sa"),
-    ("cc-by-nc-nd", "noderivs|derivatives", r"creative commons attribution non ?commercial no ?deriv(?:ative)?s(?: [1-4] 0)?", "cc by nc nd"),
+    ("cc-by-nc-nd", "deriv", r"creative commons attribution non ?commercial no ?deriv(?:ative)?s(?: [1-4] 0)?", "cc by nc nd"),
     ("sspl", "server", r"server side public licen[cs]e(?: version 1)?", "sspl 1 0"),
     ("busl-1.1", "business", r"business source licen[cs]e(?: 1 1)?", "busl 1 1"),
     ("elastic-2", "elastic", r"elastic licen[cs]e(?: 2 0)?", "elastic 2 0"),
@@ -107,7 +107,7 @@ TEMPLATES = [
 ]
 #: Whatever a rule needs: without it, a text is not normalised at all.
 _BREAK = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-GATE = rf"(?i)licen[cs]e|cc{_BREAK}by|cc0|creative{_BREAK}commons|public{_BREAK}domain|all{_BREAK}rights{_BREAK}reserved|proprietary|ncsa|bsd|fuck"
+GATE = rf"(?i)licen[cs]e|cc{_BREAK}by|cc0|creative{_BREAK}commons|public{_BREAK}domain|all{_BREAK}rights{_BREAK}reserved|proprietary|ncsa|bsd|fuck|no{_BREAK}attribution"
 
 
 def build_rules() -> list[Rule]:

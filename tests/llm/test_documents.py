@@ -218,6 +218,48 @@ def test_every_license_rule_has_its_keyword_and_matches_its_name():
         re.compile(r.pattern)
 
 
+def forms(pattern):
+    """Every text that a rule's pattern matches: groups, alternatives, classes and ``?`` written out."""
+
+    def read(i):
+        out, texts = [], [""]
+        while i < len(pattern) and pattern[i] != ")":
+            if pattern[i] == "|":
+                out, texts, i = out + texts, [""], i + 1
+                continue
+            if pattern.startswith("(?:", i):
+                atom, i = read(i + 3)
+                i += 1
+            elif pattern[i] == "[":
+                end = pattern.index("]", i)
+                body, i = pattern[i + 1 : end], end + 1
+                atom = [chr(c) for c in range(ord(body[0]), ord(body[2]) + 1)] if "-" in body else list(body)
+            else:
+                atom, i = [pattern[i]], i + 1
+            if pattern[i : i + 1] == "?":
+                atom, i = [*atom, ""], i + 1
+            texts = [a + b for a in texts for b in atom]
+        return out + texts, i
+
+    return set(read(0)[0])
+
+
+def test_every_match_of_a_license_rule_passes_both_gates():
+    keywords = defaultdict(set)
+    for r in licenses.RULES:
+        keywords[r.pattern].add(r.keyword)
+    for pattern, some in keywords.items():
+        for text in forms(pattern):
+            assert re.fullmatch(pattern, text)
+            assert any(k in text for k in some) and re.search(licenses.GATE, text), text
+
+
+def test_licenses_behind_the_gates_are_found(spark):
+    rows = [(1, "creative commons attribution no derivs"), (2, "Creative Commons Attribution non-commercial no derivs 4.0"), (3, "MIT No Attribution")]
+    got = licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.labels for r in got} == {1: "cc-by-nd", 2: "cc-by-nc-nd", 3: "mit-0"}
+
+
 # --- secrets -----------------------------------------------------------------------------------------------------------
 
 
