@@ -1,4 +1,4 @@
-"""Connected components of a link table, in rounds over checkpointed tables."""
+"""Connected components of a link table, by contraction."""
 
 from __future__ import annotations
 
@@ -8,21 +8,36 @@ from pyspark.sql import functions as F
 from casewright.session import cut
 
 
-def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
+def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, label): the smallest node that each linked node reaches; links are undirected.
 
-    Every round a node takes the smallest label next to it, then the label of its label (pointer jumping), so
-    long chains shrink geometrically.  Raises if ``rounds`` do not suffice.
+    Each round every node takes the name of the first node next to it, or keeps its own if that comes first, and the
+    links are renamed.  Nodes of one name belong to one component, so nothing is lost.  The first round takes the
+    smallest node (stars around their smallest node are done at once), later ones order by a hash that is another one
+    each round: whatever the shape (path, star, clique), a round then leaves about half of the nodes or fewer, so
+    rounds grow with the logarithm of the size.  Names are read backwards at the end, from the smallest table to the
+    largest.  Null ends and self links are left out; repeated links count once; an empty table gives an empty one.
     """
-    both = links.select(F.col(a).alias("x"), F.col(b).alias("y"))
-    both = cut(both.union(both.select("y", "x")).where("x <> y").distinct())
-    labels = cut(both.groupBy("x").agg(F.least(F.min("y"), F.first("x")).alias("label")).select(F.col("x").alias("node"), "label"))
-    for _ in range(rounds):
-        near = both.join(labels.select(F.col("node").alias("y"), "label"), "y").groupBy("x").agg(F.min("label").alias("near"))
-        step = labels.join(near, labels.node == near.x, "left").select("node", F.col("label").alias("old"), F.least("label", F.coalesce("near", "label")).alias("label"))
-        jump = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        step = cut(step.join(jump, "label", "left").select("node", "old", F.least("label", F.coalesce("further", "label")).alias("label")))
-        labels = step.select("node", "label")
-        if step.where("old <> label").isEmpty():
-            return labels
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
+    x, y = F.col(a).alias("x"), F.col(b).alias("y")
+    edges = links.select(x, y).where("x <> y")
+    edges = cut(edges.unionAll(edges.select("y", "x")).distinct())
+    names = []
+    while not edges.isEmpty():
+        def place(node: str, turn: int = len(names)):
+            return F.struct((F.xxhash64(node, F.lit(turn)) if turn else F.lit(0)).cast("long").alias("h"), F.col(node).alias("y"))
+
+        near, own = edges.groupBy("x").agg(F.min(place("y")).alias("near")), place("x")
+        named = cut(near.select(F.col("x").alias("node"), F.least("near", own)["y"].alias("name")))
+        names.append(named)
+        ends = edges.join(named.select(F.col("node").alias("x"), F.col("name").alias("p")), "x")
+        ends = ends.join(named.select(F.col("node").alias("y"), F.col("name").alias("q")), "y")
+        edges = cut(ends.where("p <> q").select(F.col("p").alias("x"), F.col("q").alias("y")).distinct())
+    if not names:
+        return edges.select(F.col("x").alias("node"), F.col("y").alias("label"))
+    last = names.pop()
+    while names:
+        root = last.select(F.col("node").alias("name"), F.col("name").alias("root"))
+        last = names.pop().join(root, "name", "left").select("node", F.coalesce("root", "name").alias("name"))
+    last = cut(last)
+    smallest = last.groupBy("name").agg(F.min("node").alias("label"))
+    return cut(last.join(smallest, "name").select("node", "label"))

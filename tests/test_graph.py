@@ -2,12 +2,15 @@
 
 import random
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from casewright.operators import edges as E
 from casewright.operators import paths as P
 from casewright.operators import puzzles as Z
 from casewright.operators import stats as S
+from casewright.operators import components as components_module
 from casewright.operators.components import components
 
 
@@ -40,10 +43,25 @@ def test_distances_in_modes_are_dual(spark):
     assert all(both[k] <= d for k, d in back.items())
 
 
-def test_components_equal_union_find(spark):
+def shapes():
     rng = random.Random(3)
-    pairs = [(rng.randrange(400), rng.randrange(400)) for _ in range(300)] + [(1000 + i, 1001 + i) for i in range(120)]
-    parent = {}
+    zigzag = [x for i in range(200) for x in (i, 400 - i)]
+    path = rng.sample(range(10**6), 1000)
+    return {
+        "random": [(rng.randrange(400), rng.randrange(400)) for _ in range(300)] + [(1000 + i, 1001 + i) for i in range(120)],
+        "zigzag": list(zip(zigzag, zigzag[1:], strict=False)),
+        "path": list(zip(path, path[1:], strict=False)),
+        "star": [(500, i) for i in range(400)],
+        "clique": [(i, j) for i in range(40) for j in range(i)] + [(7, 7)],
+        "empty": [],
+    }
+
+
+@pytest.mark.parametrize("shape", list(shapes()))
+def test_components_equal_union_find_in_few_rounds(spark, monkeypatch, shape):
+    pairs, parent, cuts = shapes()[shape], {}, []
+    cut = components_module.cut
+    monkeypatch.setattr(components_module, "cut", lambda df: cuts.append(1) or cut(df))
 
     def find(x):
         while parent.setdefault(x, x) != x:
@@ -56,6 +74,7 @@ def test_components_equal_union_find(spark):
             parent[high] = low
     found = {r.node: r.label for r in components(graph(spark, pairs), "citing", "cited").collect()}
     assert found == {x: find(x) for x in parent}
+    assert len(cuts) <= 3 + 2 * 19  # two tables a round, three besides
 
 
 def test_fold_keeps_best_connected_then_lowest(spark):
