@@ -5,27 +5,30 @@ A node's shingles are also hashed into groups, and the counts of its groups are
 ``sum(min(p_i, q_i))`` bounds the size of their intersection, and the same sum with a tree node's largest
 coordinates bounds it for everything below that tree node.
 
-Which nodes meet at all is decided by prefixes: with shingles in one global order, two sets of Jaccard similarity t
-share one of their first ``n - ceil(t * n) + 1``.  The order puts frequent shingles (of passages that many documents
-hold) last, so they seldom are in a prefix.  The nodes that share a prefix shingle form a bucket.
-
-1. Buckets with one and the same set of nodes count once.  In a few rounds each bucket that still holds several
-   components links its nodes to one of them (the smallest, then the best connected); those pairs are bounded,
-   verified on the full sets, and joined into components.
-2. In buckets that hold several components after that, R-trees over the points find all pairs across components
-   whose bound suffices; they are verified too.  So no link between components is lost, while a group of near
-   copies costs a few stars of pairs rather than all of them.
-
-A bucket of more than ``CHUNK`` nodes is cut by hash into chunks, and each pair of chunks is a task of its own.
+1. Which nodes meet at all is decided by prefixes: with shingles in one global order, two sets of Jaccard similarity t
+   share one of their first ``n - ceil(t * n) + 1``.  The order puts frequent shingles (of passages that many documents
+   hold) last, so they seldom are in a prefix.
+2. The nodes of one prefix shingle are named after the smallest of them, and those of one name are a group: near copies
+   share dozens of prefix shingles, but only a few names.  Every pair that shares a prefix shingle is in some group.
+3. In each group an R-tree over the points finds the nodes whose bound with another one suffices for a link; what the
+   bound connects goes on, all else is done.
+4. Those few groups get their texts and are verified on full sets.  A group is a task's own union-find: a pair is only
+   compared while its two nodes are in different components, so a task gives back at most one link for each node.
+5. Links are joined into components.
+
+A group of more than ``CHUNK`` nodes (or ``CHUNK_SHINGLES`` in all) is cut by hash into chunks which run 3 and 4 on
+their own; then only the nodes outside the group's largest component are held against the other chunks.  So memory is
+bounded and no link between components is lost, while a huge group of copies that hang together costs what its rows do.
 Nothing is capped or sampled; counts that set the order only choose among equally correct orders.
 
 Defined results: null and word-less texts have no shingles and are linked with nothing; a null doc_id never is a
-component_id unless all ids of a component are null; repeated rows are linked like copies; extra columns are ignored.
+component_id unless all ids of a component are null; repeated rows are linked like copies; ties cannot matter, as
+components do not depend on an order; extra columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -39,7 +42,10 @@ from casewright.session import cut
 #: Links need 100 * intersection >= NUMERATOR * union.
 NUMERATOR = 75
 HOT, MAX_HOT = 32, 200_000
-CHUNK, LEAF = 2048, 32
+#: Prefix shingles met in more rows than this are not gathered by key: their smallest node is found by partial sums.
+SPREAD = 1 << 15
+CHUNK, CHUNK_SHINGLES, LEAF = 2048, 1 << 22, 32
+SLICE = 1 << 22
 BROADCAST_ROWS = 500_000
 
 
@@ -53,8 +59,8 @@ def prefix_length(n: int, numerator: int = NUMERATOR) -> int:
 
 
 def points(hashes: np.ndarray) -> np.ndarray:
-    """Counts of the groups (a power of two of them, about as many as shingles), as bytes."""
-    groups = 1 << max(4, int(len(hashes) - 1).bit_length())
+    """Counts of the groups (a power of two of them, a quarter to a half as many as shingles), as bytes."""
+    groups = 1 << max(4, (len(hashes) // 4 - 1).bit_length())
     while True:
         counts = np.bincount((hashes & np.uint64(groups - 1)).astype(np.int64), minlength=groups)
         if counts.max() < 256:
@@ -117,18 +123,82 @@ class CountTree:
         return out[out < n]
 
 
+def clusters(label: np.ndarray, probe: np.ndarray, near: Callable[[int, np.ndarray], np.ndarray]) -> np.ndarray:
+    """Labels after joining what ``near`` finds; pairs need a member of ``probe`` (a mask), and differing labels.
+
+    ``near(k, at)`` gives those of the positions ``at`` that k is joined with.  A pair is only looked at while its two
+    ends differ, so a group that hangs together takes few looks.
+    """
+    label = np.unique(label, return_inverse=True)[1]
+    todo, open_ = probe.copy(), np.ones(len(label), bool)  # to be looked from; not yet looked from
+    while todo.any():
+        counts = np.bincount(label[open_])
+        most = counts.argmax()
+        if counts[most] == open_.sum():
+            break  # all pairs that were not looked at are within one component
+        at = np.flatnonzero(todo & (label != most))
+        k = at[0] if len(at) else np.flatnonzero(todo)[0]
+        todo[k] = open_[k] = False
+        found = near(k, np.flatnonzero(open_ & (label != label[k])))
+        if len(found):
+            label[np.isin(label, label[found])] = label[k]
+    return label
+
+
+def in_groups(key: list[str], handle: Callable[[pd.DataFrame], pd.DataFrame | None]):
+    """A task over rows sorted by ``key``: ``handle`` for the rows of each key, whole, one key at a time."""
+
+    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []  # the last key's rows so far: they may go on in the next batch
+
+        def done(parts: list[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            out = handle(parts[0] if len(parts) == 1 else pd.concat(parts, ignore_index=True))
+            if out is not None and len(out):
+                yield out
+
+        for b in batches:
+            if not len(b):
+                continue
+            values = b[key].to_numpy()
+            starts = np.r_[0, np.flatnonzero((values[1:] != values[:-1]).any(axis=1)) + 1, len(b)]
+            if held and (held[0][key].to_numpy()[0] != values[0]).any():
+                yield from done(held)
+                held = []
+            for lo, hi in zip(starts[:-2], starts[1:-1], strict=True):
+                yield from done([*held, b.iloc[lo:hi]])
+                held = []
+            held.append(b.iloc[starts[-2] :])
+        if held:
+            yield from done(held)
+
+    return task
+
+
 # --- stages ------------------------------------------------------------------------------------------------------
 
 
 def frequent(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
     """Frequent shingles and their counts, sorted: they are put last in the order (any order is correct)."""
 
-    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def slices(batches: Iterator[pd.DataFrame]) -> Iterator[np.ndarray]:
+        sets, size = [], 0
         for b in batches:
-            sets = [shingle_set(t, words) for t in b.text]
-            values, counts = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.empty(0, np.uint64), np.empty(0, int))
+            for text in b.text:
+                sets.append(shingle_set(text, words))
+                size += len(sets[-1])
+                if size >= SLICE:
+                    yield np.concatenate(sets)
+                    sets, size = [], 0
+        if size:
+            yield np.concatenate(sets)
+
+    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for values in slices(batches):
+            values.sort()
+            starts = np.flatnonzero(np.r_[True, values[1:] != values[:-1]])
+            counts = np.diff(np.r_[starts, len(values)])
             some = counts >= 3
-            yield pd.DataFrame({"token": values[some].view(np.int64), "n": counts[some].astype(np.int64)})
+            yield pd.DataFrame({"token": values[starts[some]].view(np.int64), "n": counts[some].astype(np.int64)})
 
     totals = texts.mapInPandas(task, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT)
     top = totals.orderBy(F.desc("n"), "token").limit(MAX_HOT).toPandas()  # MAX_HOT rows at most
@@ -137,9 +207,8 @@ def frequent(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
     return token[order], top.n.to_numpy(np.int64)[order]
 
 
-def nodes_of(texts: DataFrame, words: int, numerator: int, hot: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+def nodes_of(texts: DataFrame, words: int, numerator: int, held) -> DataFrame:
     """For each row: doc_id, tk, n, node; and tokens (its prefix) and point where its task first meets the node."""
-    held = texts.sparkSession.sparkContext.broadcast(hot)
 
     def prefix(s: np.ndarray) -> np.ndarray:
         token, count = held.value
@@ -163,210 +232,170 @@ def nodes_of(texts: DataFrame, words: int, numerator: int, hot: tuple[np.ndarray
                 new = node not in seen
                 seen.add(node)
                 out.append((doc_id, tk, len(s), node, prefix(s).view(np.int64) if new else None, points(s).tobytes() if new else None))
-            df = pd.DataFrame(out, columns=["doc_id", "tk", "n", "node", "tokens", "point"], dtype=object)
-            yield df
+            yield pd.DataFrame(out, columns=["doc_id", "tk", "n", "node", "tokens", "point"], dtype=object)
 
     return texts.mapInPandas(task, "doc_id long, tk long, n long, node long, tokens array<long>, point binary")
 
 
-def buckets_of(postings: DataFrame) -> DataFrame:
-    """(token, node) of tokens with several nodes, from (token, node) rows; one token for each set of nodes."""
+def groups_of(postings: DataFrame, hot: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """(g, node): the nodes of each prefix shingle that several have, under the smallest of them; from (token, node)."""
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        # Rows come in order; the last one waits until the next batch shows whether its token goes on.
-        token = node = np.empty(0, np.int64)
-        before = None  # token of the row before the waiting one
-
-        def several(token: np.ndarray, node: np.ndarray, after: int | None) -> pd.DataFrame:
-            same = token[1:] == token[:-1]
-            keep = np.r_[before is not None and before == token[0], same] | np.r_[same, after is not None and after == token[-1]]
-            return pd.DataFrame({"token": token[keep], "node": node[keep]})
-
+        token_before, first_before = None, None
         for b in batches:
-            new_token, new_node = b.token.to_numpy(np.int64), b.node.to_numpy(np.int64)
-            token, node = np.r_[token, new_token], np.r_[node, new_node]
-            new = np.r_[True, (token[1:] != token[:-1]) | (node[1:] != node[:-1])]  # a node's copies from other tasks
-            token, node = token[new], node[new]
-            if len(token) > 1:
-                yield several(token[:-1], node[:-1], token[-1])
-                before, token, node = token[-2], token[-1:], node[-1:]
-        if len(token):
-            yield several(token, node, None)
-
-    dealt = postings.repartition("token").sortWithinPartitions("token", "node")
-    rows = cut(dealt.mapInPandas(task, "token long, node long"))
-    members = rows.groupBy("token").agg(
-        F.bit_xor(F.xxhash64("node")).alias("s"), F.bit_xor(F.xxhash64("node", F.lit("again"))).alias("t"), F.count(F.lit(1)).alias("k")
-    )
-    first = members.groupBy("s", "t", "k").agg(F.min("token").alias("token"))
-    return rows.join(first, "token", "left_semi")
-
-
-def across(rows: DataFrame, numerator: int) -> DataFrame:
-    """(a, b): pairs of nodes of different components that the R-trees let through, from bucket chunks.
-
-    ``rows``: token, i, j (pair of chunks), h (own chunk), node, label, n, point.
+            token, node = b.token.to_numpy(np.int64), b.node.to_numpy(np.int64)
+            if not len(token):
+                continue
+            starts = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
+            first = node[starts]  # rows come in order, so a token's first row has its smallest node
+            if token_before == token[0]:
+                first[0] = first_before
+            g = np.repeat(first, np.diff(np.r_[starts, len(token)]))
+            token_before, first_before = token[-1], g[-1]
+            other = g != node
+            yield pd.DataFrame({"g": g[other], "node": node[other]}).drop_duplicates()
+
+    spark = postings.sparkSession
+    token, count = hot
+    wide = token[count >= SPREAD].view(np.int64)
+    few, many = postings, None
+    if len(wide):  # at most MAX_HOT tokens
+        wide_tokens = F.broadcast(spark.createDataFrame(pd.DataFrame({"token": wide})))
+        few, many = postings.join(wide_tokens, "token", "left_anti"), postings.join(wide_tokens, "token", "left_semi")
+    dealt = few.repartition("token").sortWithinPartitions("token", "node")
+    found = dealt.mapInPandas(task, "g long, node long")
+    if many is not None:
+        smallest = many.groupBy("token").agg(F.min("node").alias("g"))
+        found = found.unionAll(many.join(F.broadcast(smallest), "token").where("g <> node").select("g", "node"))
+    found = found.distinct()
+    return cut(found.unionAll(found.select("g", F.col("g").alias("node")).distinct()))
+
+
+def connected(rows: DataFrame, numerator: int) -> DataFrame:
+    """(g, h, part, node, label, role) of the nodes that the trees' bounds connect with another one of (g, h).
+
+    ``rows``: g, h, node, label, role (0 stays in this chunk, 1 visits it, 2 is looked from), n, point.
     """
 
-    def pairs(rows: pd.DataFrame) -> np.ndarray:
-        node, label = rows.node.to_numpy(), rows.label.to_numpy()
-        size, h = rows.n.to_numpy(), rows.h.to_numpy()
+    def handle(rows: pd.DataFrame) -> pd.DataFrame | None:
+        size = rows.n.to_numpy(np.int64)
         own = [np.frombuffer(p, np.uint8).astype(np.uint16) for p in rows.point]
         groups = np.array([len(p) for p in own])
         trees = {}
         for g in np.unique(groups):
             at = np.flatnonzero(groups == g)
             trees[g] = (at, CountTree(np.stack([own[k] for k in at]), size[at]))
-        names, counts = np.unique(label, return_counts=True)
-        most = names[counts.argmax()]
-        both = rows.i.iat[0] == rows.j.iat[0]
-        out = []
-        for k in np.flatnonzero(label != most):  # a pair across components has at least one such node
-            for g, (at, tree) in trees.items():
+
+        def near(k: int, at: np.ndarray) -> np.ndarray:
+            out = []
+            for g, (places, tree) in trees.items():
                 # over the fewer groups of both: a larger one of the two is folded
                 if g <= groups[k]:
-                    found = at[tree.search(folded(own[k], g), int(size[k]), numerator)]
+                    out.append(places[tree.search(folded(own[k], g), int(size[k]), numerator)])
                 else:
-                    near = at[(numerator * size[at] <= 100 * size[k]) & (numerator * size[k] <= 100 * size[at])]
-                    found = np.array([x for x in near if np.minimum(folded(own[x], groups[k]), own[k]).sum(dtype=np.int64) >= needed(size[x] + size[k], numerator)], np.int64)
-                found = found[(label[found] != label[k]) & ((label[found] == most) | (node[found] < node[k]))]
-                if not both:
-                    found = found[h[found] != h[k]]
-                if len(found):
-                    out.append(np.stack([np.minimum(node[found], node[k]), np.maximum(node[found], node[k])]))
-        return np.unique(np.hstack(out), axis=1) if out else np.empty((2, 0), np.int64)
-
-    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None
-        for b in batches:
-            held = b if held is None or not len(held) else pd.concat([held, b], ignore_index=True)
-            if not len(held):
-                continue
-            key = held[["token", "i", "j"]].to_numpy()
-            starts = np.r_[0, np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1]
-            for lo, hi in zip(starts[:-1], starts[1:], strict=True):
-                a, b2 = pairs(held.iloc[lo:hi])
-                if len(a):
-                    yield pd.DataFrame({"a": a, "b": b2})
-            held = held.iloc[starts[-1] :].reset_index(drop=True)  # the last bucket may go on
-        if held is not None and len(held):
-            a, b2 = pairs(held)
-            yield pd.DataFrame({"a": a, "b": b2})
-
-    dealt = rows.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
-    return dealt.mapInPandas(task, "a long, b long").distinct()
-
-
-def _jaccard(pairs: DataFrame, sets: DataFrame, numerator: int) -> DataFrame:
-    """The pairs (a, b) that the full sets link."""
-
-    @F.pandas_udf("boolean")
-    def linked(x: pd.Series, y: pd.Series) -> pd.Series:
-        out = []
-        for p, q in zip(x, y, strict=True):
-            a, b = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
-            both = len(np.intersect1d(a, b, assume_unique=True))
-            out.append(100 * both >= numerator * (len(a) + len(b) - both))
-        return pd.Series(out, dtype=bool)
-
-    rows = pairs.join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
-    rows = rows.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a")
-    return rows.where(linked("x", "y")).select("a", "b")
-
-
-def _bounded(pairs: DataFrame, info: DataFrame, numerator: int) -> DataFrame:
-    """The pairs (a, b) whose points let a link be."""
-
-    @F.pandas_udf("boolean")
-    def may(x: pd.Series, y: pd.Series, n: pd.Series) -> pd.Series:
-        least = needed(n.to_numpy(), numerator)
-        found = [bound(np.frombuffer(p, np.uint8).astype(np.int32), np.frombuffer(q, np.uint8).astype(np.int32)) for p, q in zip(x, y, strict=True)]
-        return pd.Series(np.array(found, dtype=np.int64) >= least)
-
-    rows = pairs.join(info.select(F.col("node").alias("b"), F.col("point").alias("y"), F.col("n").alias("nb")), "b")
-    rows = rows.join(info.select(F.col("node").alias("a"), F.col("point").alias("x"), F.col("n").alias("na")), "a")
-    rows = rows.where((100 * F.col("na") >= numerator * F.col("nb")) & (100 * F.col("nb") >= numerator * F.col("na")))
-    return rows.where(may("x", "y", F.col("na") + F.col("nb"))).select("a", "b")
-
-
-def _sets(documents: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """(node, hashes) of the wanted nodes (node, tk), from one text of each."""
-    keys = wanted.select("node", F.col("tk").alias("__tk"))
-    n = wanted.count()
-    keys = F.broadcast(keys) if n <= BROADCAST_ROWS else keys
-    rows = documents.select("text", F.xxhash64("text").alias("__tk")).join(keys, "__tk").groupBy("node").agg(F.first("text").alias("text"))
-
-    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"node": b.node, "hashes": [shingle_set(t, words).tobytes() for t in b.text]})
-
-    return rows.mapInPandas(task, "node long, hashes binary")
-
-
-#: Rounds of stars before the trees.
-ROUNDS = 2
+                    fit = places[(numerator * size[places] <= 100 * size[k]) & (numerator * size[k] <= 100 * size[places])]
+                    out.append(np.array([x for x in fit if np.minimum(folded(own[x], groups[k]), own[k]).sum(dtype=np.int64) >= needed(size[x] + size[k], numerator)], np.int64))
+            return np.intersect1d(np.concatenate(out), at)
+
+        part = clusters(rows.label.to_numpy(), rows.role.to_numpy() > 0, near)
+        labels = pd.DataFrame({"part": part, "label": rows.label.to_numpy()}).drop_duplicates()
+        several = labels.part.value_counts()
+        keep = np.isin(part, several.index[several > 1])
+        return rows[["g", "h", "node", "label", "role"]].assign(part=part)[keep]
+
+    dealt = rows.repartition("g", "h").sortWithinPartitions("g", "h")
+    return dealt.mapInPandas(in_groups(["g", "h"], handle), "g long, h int, part long, node long, label long, role int")
+
+
+def verified(rows: DataFrame, words: int, numerator: int) -> DataFrame:
+    """(a, b): links between labels that join what full sets connect, from g, h, part, node, label, role, text."""
+
+    def handle(rows: pd.DataFrame) -> pd.DataFrame | None:
+        rows = rows.drop_duplicates("node")
+        sets = [shingle_set(t, words) for t in rows.text]
+        size = np.array([len(s) for s in sets])
+        owner = np.repeat(np.arange(len(sets)), size)
+        tokens = np.concatenate(sets)
+        order = np.argsort(tokens, kind="stable")
+        tokens, owner = tokens[order], owner[order]
+
+        def near(k: int, at: np.ndarray) -> np.ndarray:
+            at = at[(numerator * size[at] <= 100 * size[k]) & (numerator * size[k] <= 100 * size[at])]
+            if len(at) < 8:
+                both = np.array([len(np.intersect1d(sets[k], sets[x], assume_unique=True)) for x in at], np.int64)
+            else:  # count the shingles that each one shares with k
+                lo, hi = np.searchsorted(tokens, sets[k], "left"), np.searchsorted(tokens, sets[k], "right")
+                places = np.repeat(lo - np.r_[0, np.cumsum(hi - lo)[:-1]], hi - lo) + np.arange((hi - lo).sum())
+                both = np.bincount(owner[places], minlength=len(sets))[at]
+            return at[100 * both >= numerator * (size[at] + size[k] - both)]
+
+        label = rows.label.to_numpy()
+        names = pd.DataFrame({"part": clusters(label, rows.role.to_numpy() > 0, near), "b": label}).drop_duplicates()
+        names["a"] = names.groupby("part").b.transform("min")
+        return names.loc[names.a != names.b, ["a", "b"]]
+
+    dealt = rows.repartition("g", "h", "part").sortWithinPartitions("g", "h", "part")
+    return dealt.mapInPandas(in_groups(["g", "h", "part"], handle), "a long, b long").distinct()
+
+
+def _texts(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, text) of the wanted nodes (node, doc_id, tk), one text of each."""
+    keys = wanted.select("node", F.col("doc_id").alias("id"), F.col("tk").alias("k"))
+    keys = F.broadcast(keys) if wanted.count() <= BROADCAST_ROWS else keys
+    rows = texts.join(keys, (F.col("tk") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("id")))
+    return rows.groupBy("node").agg(F.first("text").alias("text"))
+
+
+def _links(parts: DataFrame, info: DataFrame, texts: DataFrame, words: int, numerator: int) -> DataFrame:
+    """Links within the chunks of ``parts`` (g, h, node, label, role)."""
+    near = cut(connected(parts.join(info.select("node", "n", "point"), "node"), numerator))
+    wanted = cut(near.select("node").distinct().join(info.select("node", "doc_id", "tk"), "node"))
+    return cut(verified(near.join(_texts(texts, wanted), "node"), words, numerator))
 
 
 def jaccard_join(documents: DataFrame, words: int = 5, numerator: int = NUMERATOR) -> DataFrame:
-    """doc_id, n_shingles, component_id, tk (hash of the text), node, label (smallest node of the component) and links
-    (verified in this run) of every row.
+    """doc_id, n_shingles, component_id, tk (hash of the text), node and label (smallest node of the component) of
+    every row.
 
     Columns doc_id and text are read.
     """
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tk"), "text")
     hot = frequent(texts.select("text"), words)
-    rows = cut(nodes_of(texts, words, numerator, hot))
+    held = documents.sparkSession.sparkContext.broadcast(hot)
+    rows = cut(nodes_of(texts, words, numerator, held))
+    held.destroy()
     first = rows.where("tokens is not null")
-    buckets = cut(buckets_of(first.select(F.explode_outer("tokens").alias("token"), "node")))
-    within = first.join(buckets.select("node").distinct(), "node", "left_semi")
-    info = within.groupBy("node").agg(F.min(F.struct("tk", "n", "point")).alias("i"))
-    info = cut(info.select("node", "i.*"))
-
-    spark = documents.sparkSession
-    links = spark.createDataFrame([], "a long, b long")
-    tested = links
-    labels = spark.createDataFrame([], "node long, label long")
-    sets = spark.createDataFrame([], "node long, hashes binary")  # of nodes whose bound has sufficed so far
-    for turn in range(ROUNDS + 1):
-        # Buckets that still hold several components.
-        degree = links.select(F.col("a").alias("node")).unionAll(links.select("b")).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
-        marked = buckets.select("token", "node").join(labels, "node", "left").join(degree, "node", "left")
-        marked = cut(marked.select("token", "node", F.coalesce("label", "node").alias("label"), F.coalesce("degree", F.lit(0)).alias("degree")))
-        leader = F.max_by("node", F.struct("degree", -F.col("node")))
-        mixed = marked.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("k"), leader.alias("leader"))
-        mixed = mixed.where("low < high").select("token", "leader", F.ceil(F.col("k") / CHUNK).cast("int").alias("chunks"))
-        buckets = marked.join(mixed, "token")
-        if turn < ROUNDS:
-            pairs = buckets.where("node <> leader").select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct()
-        else:
-            parts = buckets.join(info.select("node", "n", "point"), "node").withColumn("h", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
-            parts = parts.select("*", F.explode_outer(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
-            parts = parts.select("token", F.least("h", "other").alias("i"), F.greatest("h", "other").alias("j"), "h", "node", "label", "n", "point")
-            pairs = across(parts, numerator)
-        pairs = cut(pairs.join(tested, ["a", "b"], "left_anti"))
-        if pairs.isEmpty():
-            if turn < ROUNDS:
-                buckets = cut(buckets.select("token", "node"))
-                continue
-            break
-        near = cut(_bounded(pairs, info, numerator))
-        wanted = near.select(F.col("a").alias("node")).union(near.select("b")).distinct().join(sets, "node", "left_anti")
-        wanted = cut(wanted.join(info.select("node", "tk"), "node"))
-        if not wanted.isEmpty():
-            sets = sets.unionAll(cut(_sets(documents, wanted, words)))
-        more = cut(_jaccard(near, sets, numerator))
-        links, tested = cut(links.unionAll(more)), cut(tested.unionAll(pairs))
+    groups = groups_of(first.select(F.explode_outer("tokens").alias("token"), "node"), hot)
+    info = first.join(groups.select("node").distinct(), "node", "left_semi")
+    info = info.groupBy("node").agg(F.min(F.struct("doc_id", "tk")).alias("i"), F.first("n").alias("n"), F.first("point").alias("point"))
+    info = cut(info.select("node", "i.*", "n", "point"))
+
+    total = groups.join(info.select("node", "n"), "node").groupBy("g").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"))
+    chunks = F.ceil(F.greatest(F.col("k") / CHUNK, F.col("n") / CHUNK_SHINGLES)).cast("int")
+    large = cut(total.select("g", chunks.alias("chunks")).where("chunks > 1"))
+    h = F.pmod(F.xxhash64("node"), F.coalesce("chunks", F.lit(1))).cast("int")
+    parts = groups.join(large, "g", "left").select("g", h.alias("h"), "node", "chunks")
+    # A large group's own name visits all of its chunks, so that they hang together early.
+    visits = large.select("g", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("h"), F.col("g").alias("node"), "chunks")
+    visits = visits.where(F.col("h") != F.pmod(F.xxhash64("node"), F.col("chunks")))
+    start = parts.unionAll(visits).select("g", "h", "node", F.col("node").alias("label"), F.lit(2).alias("role"))
+    links = _links(start, info, texts, words, numerator)
+    labels = components(links)
+    if not large.isEmpty():
+        marked = parts.where("chunks is not null").join(labels, "node", "left").select("g", "h", "node", "chunks", F.coalesce("label", "node").alias("label"))
+        marked = cut(marked)
+        most = marked.groupBy("g", "label").agg(F.count(F.lit(1)).alias("k")).groupBy("g").agg(F.max(F.struct("k", "label")).alias("most"), F.count(F.lit(1)).alias("labels"))
+        marked = marked.join(most.where("labels > 1").select("g", F.col("most.label").alias("most")), "g")
+        others = marked.where("label <> most").select("g", F.col("h").alias("home"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("h"), "node", "label")
+        again = marked.select("g", "h", "node", "label", F.lit(0).alias("role")).unionAll(others.where("h <> home").select("g", "h", "node", "label", F.lit(1).alias("role")))
+        links = cut(links.unionAll(_links(again, info, texts, words, numerator)))
         labels = components(links)
-        buckets = cut(buckets.select("token", "node"))
 
-    degree = links.select(F.col("a").alias("node")).unionAll(links.select("b")).groupBy("node").agg(F.count(F.lit(1)).alias("links"))
-    named = rows.join(labels, "node", "left").join(degree, "node", "left")
-    named = named.select("doc_id", "tk", "n", "node", F.coalesce("label", "node").alias("label"), F.coalesce("links", F.lit(0)).alias("links"))
-    named = cut(named)
+    named = cut(rows.select("doc_id", "tk", "n", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
     smallest = named.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id"))
     out = named.join(smallest, "label", "left")
     own = F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), "tk", "node", "label", F.col("links").cast("long").alias("links"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), "tk", "node", "label")
 
 
 def keep_one(documents: DataFrame, words: int = 5, numerator: int = NUMERATOR) -> DataFrame:

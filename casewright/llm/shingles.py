@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cache
+
 import numpy as np
 
 N, WORDS = 5, 5
@@ -38,14 +40,24 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+@cache
+def _places(n: int) -> np.ndarray:
+    """An odd factor for each place of a word in its shingle (word hashes are mixed already, so sums of products do)."""
+    return np.random.default_rng(20240608).integers(1, 2**63, n, dtype=np.uint64) * _U(2) + _U(1)
+
+
 def word_hashes(text: str | None) -> np.ndarray:
     """A hash of each word (maximal run of bytes other than space and \\t to \\r), A-Z as a-z."""
     data = np.frombuffer((text or "").encode("utf-8", "replace"), np.uint8)
     if not len(data):
         return np.empty(0, np.uint64)
     inside = ~_SPACE[data]
-    edge = np.diff(inside.view(np.int8), prepend=np.int8(0), append=np.int8(0))
-    begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+    if inside[0]:
+        edges = np.r_[0, edges]
+    if inside[-1]:
+        edges = np.r_[edges, len(data)]
+    begin, end = edges[0::2], edges[1::2]
     if not len(begin):
         return np.empty(0, np.uint64)
     with np.errstate(over="ignore"):
@@ -76,10 +88,14 @@ def shingle_set(text: str | None, n: int = WORDS) -> np.ndarray:
             for w in words:
                 rolled = mix(rolled * _U(_BASE) + w)
             return rolled
-        rolled = np.full(len(words) - n + 1, _U(n))
-        for i in range(n):
-            rolled = mix(rolled * _U(_BASE) + words[i : len(words) - n + 1 + i])
-        return np.unique(rolled)
+        m = len(words) - n + 1
+        place = _places(n)
+        rolled = words[:m] * place[0]
+        for i in range(1, n):
+            rolled += words[i : m + i] * place[i]
+        rolled = mix(rolled)
+        rolled.sort()
+        return rolled[np.r_[True, rolled[1:] != rolled[:-1]]]
 
 
 def set_key(hashes: np.ndarray) -> int:

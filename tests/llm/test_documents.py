@@ -66,15 +66,37 @@ def test_join_finds_chains_and_borderline_links(spark):
     assert joined(df) == brute_components(rows)
 
 
-def test_join_in_chunks_and_without_stars(spark, monkeypatch):
-    """The tree stage alone, with buckets cut into chunks, finds the same links."""
+@pytest.mark.parametrize("change", [0.02, 0.04, 0.06])
+def test_join_in_chunks(spark, monkeypatch, change):
+    """Groups cut into chunks, and wide tokens by partial sums, give the same components."""
     monkeypatch.setattr(ngram_join, "CHUNK", 4)
-    monkeypatch.setattr(ngram_join, "ROUNDS", 0)
+    monkeypatch.setattr(ngram_join, "HOT", 2)
+    monkeypatch.setattr(ngram_join, "SPREAD", 5)
     rng = random.Random(2)
     base = [f"v{i}" for i in range(60)]
-    rows = [(i, " ".join(w if rng.random() > 0.04 else f"z{rng.randrange(999)}" for w in base)) for i in range(30)]
+    rows = [(i, " ".join(w if rng.random() > change else f"z{rng.randrange(999)}" for w in base)) for i in range(40)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    assert joined(df) == brute_components(rows)
+    want = brute_components(rows)
+    assert joined(df) == want and 1 < len({c for _, _, c in want}) <= 40
+
+
+def test_clusters_equal_plain_union():
+    """Of random relations, with labels that are joined already and nodes that are not looked from."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    for _ in range(200):
+        n = int(rng.integers(1, 14))
+        link = rng.random((n, n)) < 0.15
+        link |= link.T
+        label, probe = rng.integers(0, n, n), rng.random(n) < 0.6
+        want = label.copy()
+        for i in range(n):
+            for j in range(n):
+                if link[i, j] and (probe[i] or probe[j]):
+                    want[want == want[i]] = want[j]
+        got = ngram_join.clusters(label, probe, lambda k, at, link=link: at[link[k, at]])
+        assert all((got[i] == got[j]) == (want[i] == want[j]) for i in range(n) for j in range(n))
 
 
 def test_tree_finds_all_that_the_bound_allows():
