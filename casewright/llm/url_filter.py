@@ -2,7 +2,7 @@
 
 The rules are a bounded parameter (``MAX_RULES``); they are compiled into one trie and broadcast.  Every url
 walks the trie from its top-level domain inwards, and from each host node down the path segments; among all
-rules met on the way the one with most host labels, then with the longest path, decides.
+rules met on the way the longest (host and path together) decides, on a tie the one with most host labels.
 
 Defined results: a null url, or one without ``://``, has an empty host and path, no rule and the default
 verdict.  Repeated rows are judged alike; an empty table gives an empty result; other columns are ignored.
@@ -65,8 +65,9 @@ class UrlTrie:
         node, best = self.root, None
         labels = host.split(".") if host else []
         while True:
-            if node[1] is not None:
-                best = self._path(node[1], segments) or best
+            found = self._path(node[1], segments) if node[1] is not None else None
+            if found and (best is None or len(found[0]) >= len(best[0])):  # later ones have more labels
+                best = found
             if not labels:
                 return best
             node = node[0].get(labels.pop())

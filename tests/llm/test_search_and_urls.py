@@ -15,7 +15,7 @@ URLS = [
 
 def brute(url, rules):
     host, path = url_filter.split_url(url)
-    fits = [(h.count(".") + bool(h), len(p), f"{h}{p}", v) for v, h, p in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+    fits = [(len(f"{h}{p}"), h.count(".") + bool(h), f"{h}{p}", v) for v, h, p in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
     return max(fits)[2:] if fits else (None, "allow")
 
 
@@ -45,17 +45,12 @@ def vectors(spark, rows):
 def brute_top(rows, every, k):
     import math
 
-    v = {}
-    for i, e in rows:
-        if i is None or not e or any(x is None or not math.isfinite(x) for x in e):
-            continue
-        q = [math.floor(1024 * x) for x in e]
-        v[i] = min(v.get(i, q), q)
+    v = [(i, [math.floor(1024 * x) for x in e]) for i, e in rows if i is not None and e and not any(x is None or not math.isfinite(x) for x in e)]
     out = []
-    for q in sorted(v):
-        if q % every == 0:
-            s = sorted((-sum(a * b for a, b in zip(v[q], v[x], strict=True)), x) for x in v if x != q and len(v[x]) == len(v[q]))
-            out += [(q, r, x, -n) for r, (n, x) in enumerate(s[:k], 1)]
+    for n, (i, q) in enumerate(v):
+        if i % every == 0:
+            s = sorted((-sum(a * b for a, b in zip(q, e, strict=True)), j) for m, (j, e) in enumerate(v) if m != n and len(e) == len(q))
+            out += [(i, r, x, -score) for r, (score, x) in enumerate(s[:k], 1)]
     return sorted(out)
 
 
@@ -64,7 +59,7 @@ def test_search_equals_brute_force(spark, dim):
     rng = random.Random(dim)
     draw = lambda: [float(int(rng.gauss(0, 1) * 64)) / 64 for _ in range(dim)]
     rows = [(i, draw()) for i in range(300)] + [(1000 + i, [0.5] * dim) for i in range(40)]
-    rows += [(None, draw()), (400, None), (500, []), (600, [float("nan")] * dim), (700, [None] * dim), (800, [1.0] * (dim + 1)), (900, [float("inf")] * dim), (100, draw()), (200, rows[200][1])]
+    rows += [(None, draw()), (400, None), (500, []), (600, [float("nan")] * dim), (700, [None] * dim), (800, [1.0] * (dim + 1)), (900, [float("inf")] * dim), (100, draw()), (200, rows[200][1]), (7, draw()), (7, rows[7][1])]
     got = sorted(tuple(r) for r in top_k.search_multiples(vectors(spark, rows)).collect())
     assert got == brute_top(rows, 100, 10)
 
@@ -74,9 +69,16 @@ def test_few_and_no_vectors(spark):
     assert top_k.search_multiples(vectors(spark, [])).collect() == []
 
 
-def test_many_blocks_give_the_same(spark):
+def test_repeated_ids_are_rows_of_their_own(spark):
+    rows = [(0, [1.0]), (5, [3.0]), (5, [2.0]), (0, [4.0])]
+    got = sorted(tuple(r) for r in top_k.search_multiples(vectors(spark, rows)).collect())
+    assert got == brute_top(rows, 100, 10) and len(got) == 6
+
+
+def test_many_blocks_give_the_same(spark, monkeypatch):
+    monkeypatch.setattr(top_k, "SEED", 20)
     rng = random.Random(3)
     rows = [(i, [rng.random() for _ in range(8)]) for i in range(200)]
     v = top_k.quantised(vectors(spark, rows))
-    one, many = (sorted(tuple(r) for r in top_k.top_k(v, v.where("vec_id % 5 = 0"), 4, block).collect()) for block in (1000, 7))
+    one, many = (sorted(tuple(r) for r in top_k.top_k(v, F.col("vec_id") % 5 == 0, 4, block).collect()) for block in (1000, 7))
     assert one == many == brute_top(rows, 5, 4)
