@@ -44,8 +44,8 @@ NUMERATOR = 75
 HOT, MAX_HOT = 32, 200_000
 #: Prefix shingles met in more rows than this are not gathered by key: their smallest node is found by partial sums.
 SPREAD = 1 << 15
-CHUNK, CHUNK_SHINGLES, LEAF = 2048, 1 << 22, 32
-SLICE = 1 << 22
+CHUNK, CHUNK_SHINGLES, LEAF, SMALL = 2048, 1 << 22, 32, 64
+SLICE = 1 << 20
 BROADCAST_ROWS = 500_000
 
 
@@ -73,6 +73,15 @@ def folded(point: np.ndarray, groups: int) -> np.ndarray:
     return point.reshape(-1, groups).sum(axis=0, dtype=np.uint16) if len(point) > groups else point
 
 
+def overlap(a: np.ndarray, b: np.ndarray) -> int:
+    """Size of the intersection of two sorted sets."""
+    if len(a) > len(b):
+        a, b = b, a
+    at = np.searchsorted(b, a)
+    at[at == len(b)] = len(b) - 1
+    return int((b[at] == a).sum())
+
+
 def bound(p: np.ndarray, q: np.ndarray) -> int:
     """Largest possible intersection of the sets behind two points."""
     groups = min(len(p), len(q))
@@ -145,35 +154,65 @@ def clusters(label: np.ndarray, probe: np.ndarray, near: Callable[[int, np.ndarr
     return label
 
 
-def in_groups(key: list[str], handle: Callable[[pd.DataFrame], pd.DataFrame | None]):
-    """A task over rows sorted by ``key``: ``handle`` for the rows of each key, whole, one key at a time."""
+def in_groups(key: list[str], handle: Callable[[pd.DataFrame, np.ndarray], pd.DataFrame | None]):
+    """A task over rows sorted by ``key``: ``handle`` gets rows of whole keys and the places where keys start."""
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []  # the last key's rows so far: they may go on in the next batch
 
+        def cuts(rows: pd.DataFrame) -> np.ndarray:
+            columns = [rows[c].to_numpy() for c in key]
+            new = np.zeros(len(rows), bool)
+            new[:1] = True
+            for c in columns:
+                new[1:] |= c[1:] != c[:-1]
+            return np.flatnonzero(new)
+
         def done(parts: list[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            out = handle(parts[0] if len(parts) == 1 else pd.concat(parts, ignore_index=True))
+            rows = parts[0] if len(parts) == 1 else pd.concat(parts, ignore_index=True)
+            out = handle(rows, np.r_[cuts(rows), len(rows)]) if len(rows) else None
             if out is not None and len(out):
                 yield out
 
         for b in batches:
             if not len(b):
                 continue
-            values = b[key].to_numpy()
-            starts = np.r_[0, np.flatnonzero((values[1:] != values[:-1]).any(axis=1)) + 1, len(b)]
-            if held and (held[0][key].to_numpy()[0] != values[0]).any():
-                yield from done(held)
+            last = cuts(b)[-1]
+            if last:  # a key ends in this batch
+                yield from done([*held, b.iloc[:last]])
                 held = []
-            for lo, hi in zip(starts[:-2], starts[1:-1], strict=True):
-                yield from done([*held, b.iloc[lo:hi]])
+            elif held and any(held[0][c].iat[0] != b[c].iat[0] for c in key):
+                yield from done(held)
                 held = []
-            held.append(b.iloc[starts[-2] :])
+            held.append(b.iloc[last:])
         if held:
             yield from done(held)
 
     return task
 
 
+def pairs_within(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j), i < j: the places of all pairs within the runs between ``starts`` (the last of which is the end)."""
+    n = starts[-1]
+    after = np.repeat(starts[1:], np.diff(starts)) - np.arange(n) - 1  # places after each one in its run
+    i = np.repeat(np.arange(n), after)
+    j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(after) - after, after)
+    return i, j
+
+
+def joined(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The smallest place that each of n places reaches over the links (i, j)."""
+    label = np.arange(n)
+    while True:
+        before = label.copy()
+        low = np.minimum(label[i], label[j])
+        np.minimum.at(label, i, low)
+        np.minimum.at(label, j, low)
+        label = label[label]
+        if (label == before).all():
+            return label
+
+
 # --- stages ------------------------------------------------------------------------------------------------------
 
 
@@ -277,30 +316,61 @@ def connected(rows: DataFrame, numerator: int) -> DataFrame:
     ``rows``: g, h, node, label, role (0 stays in this chunk, 1 visits it, 2 is looked from), n, point.
     """
 
-    def handle(rows: pd.DataFrame) -> pd.DataFrame | None:
-        size = rows.n.to_numpy(np.int64)
-        own = [np.frombuffer(p, np.uint8).astype(np.uint16) for p in rows.point]
-        groups = np.array([len(p) for p in own])
+    def near_pairs(size: np.ndarray, point: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Those of the pairs (i, j) whose bound suffices."""
+        fit = (numerator * size[i] <= 100 * size[j]) & (numerator * size[j] <= 100 * size[i])
+        i, j = i[fit], j[fit]
+        groups = np.array([len(p) for p in point])
+        fewer = np.minimum(groups[i], groups[j])
+        keep = np.zeros(len(i), bool)
+        for g in np.unique(fewer):  # over the fewer groups of both: a larger point is folded
+            at = np.flatnonzero(fewer == g)
+            used = np.unique(np.r_[i[at], j[at]])
+            place = np.zeros(len(size), np.int64)
+            place[used] = np.arange(len(used))
+            m = np.stack([folded(point[k], g) for k in used]).astype(np.uint16)
+            for lo in range(0, len(at), step := max(1, SLICE // int(g))):
+                part = at[lo : lo + step]
+                both = np.minimum(m[place[i[part]]], m[place[j[part]]]).sum(axis=1, dtype=np.int64)
+                keep[part] = both >= needed(size[i[part]] + size[j[part]], numerator)
+        return i[keep], j[keep]
+
+    def tree_parts(size: np.ndarray, point: list[np.ndarray], label: np.ndarray, role: np.ndarray) -> np.ndarray:
+        """What the bounds connect in one large group."""
+        groups = np.array([len(p) for p in point])
         trees = {}
         for g in np.unique(groups):
             at = np.flatnonzero(groups == g)
-            trees[g] = (at, CountTree(np.stack([own[k] for k in at]), size[at]))
+            trees[g] = (at, CountTree(np.stack([point[k] for k in at]).astype(np.uint16), size[at]))
 
         def near(k: int, at: np.ndarray) -> np.ndarray:
             out = []
             for g, (places, tree) in trees.items():
-                # over the fewer groups of both: a larger one of the two is folded
                 if g <= groups[k]:
-                    out.append(places[tree.search(folded(own[k], g), int(size[k]), numerator)])
+                    out.append(places[tree.search(folded(point[k], g).astype(np.uint16), int(size[k]), numerator)])
                 else:
-                    fit = places[(numerator * size[places] <= 100 * size[k]) & (numerator * size[k] <= 100 * size[places])]
-                    out.append(np.array([x for x in fit if np.minimum(folded(own[x], groups[k]), own[k]).sum(dtype=np.int64) >= needed(size[x] + size[k], numerator)], np.int64))
+                    fit = np.intersect1d(places, at)
+                    out.append(near_pairs(size, point, np.full(len(fit), k), fit)[1])
             return np.intersect1d(np.concatenate(out), at)
 
-        part = clusters(rows.label.to_numpy(), rows.role.to_numpy() > 0, near)
-        labels = pd.DataFrame({"part": part, "label": rows.label.to_numpy()}).drop_duplicates()
-        several = labels.part.value_counts()
-        keep = np.isin(part, several.index[several > 1])
+        return clusters(label, role > 0, near)
+
+    def handle(rows: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame | None:
+        size, label, role = (rows[c].to_numpy() for c in ("n", "label", "role"))
+        point = [np.frombuffer(p, np.uint8) for p in rows.point]
+        part = np.zeros(len(rows), np.int64)
+        length = np.diff(starts)
+        small = length <= SMALL
+        at = np.flatnonzero(np.repeat(small, length))  # rows of small groups: all their pairs at once
+        i, j = (at[x] for x in pairs_within(np.r_[0, np.cumsum(length[small])]))
+        some = (label[i] != label[j]) & ((role[i] > 0) | (role[j] > 0))
+        i, j = near_pairs(size, point, i[some], j[some])
+        part[:] = joined(len(rows), i, j)
+        for lo, hi in zip(starts[:-1][~small], starts[1:][~small], strict=True):
+            part[lo:hi] = lo + tree_parts(size[lo:hi], point[lo:hi], label[lo:hi], role[lo:hi])
+        order = np.lexsort((label, part))
+        differs = np.flatnonzero((part[order][1:] == part[order][:-1]) & (label[order][1:] != label[order][:-1]))
+        keep = np.isin(part, part[order][differs])  # parts of several labels
         return rows[["g", "h", "node", "label", "role"]].assign(part=part)[keep]
 
     dealt = rows.repartition("g", "h").sortWithinPartitions("g", "h")
@@ -310,29 +380,45 @@ def connected(rows: DataFrame, numerator: int) -> DataFrame:
 def verified(rows: DataFrame, words: int, numerator: int) -> DataFrame:
     """(a, b): links between labels that join what full sets connect, from g, h, part, node, label, role, text."""
 
-    def handle(rows: pd.DataFrame) -> pd.DataFrame | None:
-        rows = rows.drop_duplicates("node")
-        sets = [shingle_set(t, words) for t in rows.text]
+    def star(node: np.ndarray, label: np.ndarray, role: np.ndarray, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Links (a, b) of one part's labels: the smallest of each cluster, and each other one."""
+        node, at = np.unique(node, return_index=True)
+        label, role = label[at], role[at]
+        sets = [shingle_set(texts[k], words) for k in at]
         size = np.array([len(s) for s in sets])
-        owner = np.repeat(np.arange(len(sets)), size)
-        tokens = np.concatenate(sets)
-        order = np.argsort(tokens, kind="stable")
-        tokens, owner = tokens[order], owner[order]
+        held: list[np.ndarray] = []
 
         def near(k: int, at: np.ndarray) -> np.ndarray:
             at = at[(numerator * size[at] <= 100 * size[k]) & (numerator * size[k] <= 100 * size[at])]
             if len(at) < 8:
-                both = np.array([len(np.intersect1d(sets[k], sets[x], assume_unique=True)) for x in at], np.int64)
+                both = np.array([overlap(sets[k], sets[x]) for x in at], np.int64)
             else:  # count the shingles that each one shares with k
+                if not held:
+                    tokens = np.concatenate(sets)
+                    order = np.argsort(tokens, kind="stable")
+                    held.extend((tokens[order], np.repeat(np.arange(len(sets)), size)[order]))
+                tokens, owner = held
                 lo, hi = np.searchsorted(tokens, sets[k], "left"), np.searchsorted(tokens, sets[k], "right")
-                places = np.repeat(lo - np.r_[0, np.cumsum(hi - lo)[:-1]], hi - lo) + np.arange((hi - lo).sum())
-                both = np.bincount(owner[places], minlength=len(sets))[at]
+                both = np.zeros(len(sets), np.int64)
+                for a in range(0, len(lo), 1024):  # bounded: at most 1,024 shingles' owners at once
+                    x, y = lo[a : a + 1024], hi[a : a + 1024]
+                    places = np.repeat(x - np.cumsum(y - x) + (y - x), y - x) + np.arange((y - x).sum())
+                    both += np.bincount(owner[places], minlength=len(sets))
+                both = both[at]
             return at[100 * both >= numerator * (size[at] + size[k] - both)]
 
-        label = rows.label.to_numpy()
-        names = pd.DataFrame({"part": clusters(label, rows.role.to_numpy() > 0, near), "b": label}).drop_duplicates()
-        names["a"] = names.groupby("part").b.transform("min")
-        return names.loc[names.a != names.b, ["a", "b"]]
+        part = clusters(label, role > 0, near)
+        order = np.lexsort((label, part))
+        part, label = part[order], label[order]
+        first = np.r_[True, part[1:] != part[:-1]]
+        smallest = np.repeat(label[first], np.diff(np.r_[np.flatnonzero(first), len(label)]))
+        other = smallest != label
+        return smallest[other], label[other]
+
+    def handle(rows: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame | None:
+        node, label, role, texts = rows.node.to_numpy(), rows.label.to_numpy(), rows.role.to_numpy(), rows.text.to_list()
+        out = [star(node[lo:hi], label[lo:hi], role[lo:hi], texts[lo:hi]) for lo, hi in zip(starts[:-1], starts[1:], strict=True)]
+        return pd.DataFrame({"a": np.concatenate([a for a, _ in out]), "b": np.concatenate([b for _, b in out])})
 
     dealt = rows.repartition("g", "h", "part").sortWithinPartitions("g", "h", "part")
     return dealt.mapInPandas(in_groups(["g", "h", "part"], handle), "a long, b long").distinct()
