@@ -9,8 +9,8 @@ The index and the candidates carry 64-bit keys, never text.  Candidates are broa
 ``BROADCAST_ROWS``, else both sides are shuffled by the text's key.
 
 Spans are places of the whole match in code points, end exclusive: leftmost, non-overlapping for each rule; a match
-whose measured part is too short is consumed and dropped.  Places are found by searching each match from the end
-of the one before it, which is exact for rules without look-around, anchors or back references.
+whose measured part is too short is consumed and dropped.  Places follow from the lengths of the matches and of the
+gaps between them.
 
 Defined results: a null text counts as empty and has no spans; repeated rows give equal rows; extra columns are
 ignored (kept by :func:`redact`).
@@ -27,11 +27,12 @@ from re import _parser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from casewright.llm.columns import let
+from casewright.llm.columns import let, places, scan
 from casewright.llm.decontaminate import text_key
 from casewright.session import cut
 
 BROADCAST_ROWS = 500_000
+FEW = 32
 
 
 @dataclass(frozen=True)
@@ -162,41 +163,15 @@ def candidates(documents: DataFrame, rules: list[Rule]) -> DataFrame:
     return met.where("count = needed").groupBy("key").agg(F.collect_set("kind").alias("kinds"))
 
 
+_SPANS = "array<struct<start:int,rank:int,end:int,kind:string>>"
+
+
 def _spans(text: Column, rule: Rule, rank: int) -> Column:
     """array<struct<start, rank, end, kind>> of a rule's places in ``text``."""
-    none = F.array().cast("array<struct<start:int,rank:int,end:int,kind:string>>")
-    whole = F.regexp_extract_all(text, F.lit(rule.pattern), 0)
+    found = places(text, rule.pattern, rule.group if rule.least else 0)
     if rule.least:
-        measured = F.regexp_extract_all(text, F.lit(rule.pattern), rule.group)
-        found = F.zip_with(whole, measured, lambda m, g: F.struct(m.alias("m"), (F.length(g) >= rule.least).alias("ok")))
-    else:
-        found = F.transform(whole, lambda m: F.struct(m.alias("m"), F.lit(True).alias("ok")))
-
-    def step(acc: Column, x: Column) -> Column:
-        return let(
-            F.call_function("locate", x.m, text, acc.at),
-            lambda at: F.struct(
-                (at + F.length(x.m)).cast("int").alias("at"),
-                F.when(
-                    x.ok,
-                    F.concat(
-                        acc.out,
-                        F.array(
-                            F.struct(
-                                (at - 1).cast("int").alias("start"),
-                                F.lit(rank).alias("rank"),
-                                (at - 1 + F.length(x.m)).cast("int").alias("end"),
-                                F.lit(rule.kind).alias("kind"),
-                            )
-                        ),
-                    ),
-                )
-                .otherwise(acc.out)
-                .alias("out"),
-            ),
-        )
-
-    return F.aggregate(found, F.struct(F.lit(1).alias("at"), none.alias("out")), step, lambda acc: acc.out)
+        found = F.filter(found, lambda x: x.part >= rule.least)
+    return F.transform(found, lambda x: F.struct(x["at"].alias("start"), F.lit(rank).alias("rank"), (x["at"] + x["size"]).alias("end"), F.lit(rule.kind).alias("kind")))
 
 
 def with_spans(documents: DataFrame, rules: list[Rule] = RULES, into: str = "__spans") -> DataFrame:
@@ -207,16 +182,16 @@ def with_spans(documents: DataFrame, rules: list[Rule] = RULES, into: str = "__s
     n = found.count()
     keyed = documents.withColumn("__key", text_key(F.col("text")))
     joined = keyed.join(F.broadcast(found) if n <= BROADCAST_ROWS else found, "__key", "left")
-    none = F.array().cast("array<struct<start:int,rank:int,end:int,kind:string>>")
+    none = F.array().cast(_SPANS)
 
-    def scan(text: Column) -> Column:
+    def all_spans(text: Column) -> Column:
         parts = []
         for rank, rule in enumerate(rules):
             own = _spans(text, rule, rank)
             parts.append(F.when(F.array_contains("__kinds", rule.kind), own).otherwise(none) if queries[rule.kind] else own)
         return F.array_sort(F.concat(*parts))
 
-    spans = let(F.coalesce(F.col("text"), F.lit("")), scan)
+    spans = let(F.coalesce(F.col("text"), F.lit("")), all_spans)
     return joined.withColumn(into, spans).drop("__key", "__kinds")
 
 
@@ -240,21 +215,23 @@ def scan_secrets(documents: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
 def redact(documents: DataFrame, rules: list[Rule] = RULES, mask: str = "<SECRET>") -> DataFrame:
     """``documents`` with each span (overlapping ones together) of a text put for ``mask``; n_chars follows."""
 
-    def step(acc: Column, s: Column, text: Column) -> Column:
-        return F.struct(
-            F.greatest(acc.at, s.end).alias("at"),
-            F.when(s.start >= acc.at, F.concat(acc.out, F.substring(text, acc.at + 1, s.start - acc.at), F.lit(mask)))
-            .otherwise(acc.out)
-            .alias("out"),
-        )
-
     text = F.col("text")
-    masked = F.aggregate(
-        "__spans",
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda acc, s: step(acc, s, text),
-        lambda acc: F.concat(acc.out, F.substring(text, acc.at + 1, F.length(text) - acc.at)),
-    )
+    # What stands before each span, from the furthest end so far; a span that overlaps an earlier one adds nothing.
+
+    def step(at: Column, s: Column) -> Column:
+        out = F.when(s.start >= at, F.struct(at.alias("a"), s.start.alias("b")))
+        return F.struct(F.greatest(at, s.end).alias("state"), out.alias("out"))
+
+    kept = scan(F.col("__spans"), F.lit(0), step, "struct<a:int,b:int>")
+    furthest = F.array_max(F.transform("__spans", lambda s: s.end))
+
+    def pieces(parts: Column) -> Column:
+        # substring() walks to its place from the start each time, so with many spans the text is cut up once.
+        few = F.transform(parts, lambda x: F.substring(text, x.a + 1, x.b - x.a))
+        many = let(F.regexp_extract_all(text, F.lit("(?s)."), 0), lambda c: F.transform(parts, lambda x: F.array_join(F.slice(c, x.a + 1, x.b - x.a), "")))
+        return F.when(F.size(parts) <= FEW, few).otherwise(many)
+
+    masked = F.concat(F.array_join(let(kept, pieces), mask), F.lit(mask), F.substring(text, furthest + 1, F.length(text) - furthest))
     found = with_spans(documents, rules)
     changed = F.size("__spans") > 0
     both = let(masked, lambda m: F.struct(m.alias("text"), F.length(m).cast("long").alias("n")))
