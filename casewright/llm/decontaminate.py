@@ -3,26 +3,31 @@
 Words are hashed into k-grams (k = 5); of every 6 consecutive k-grams the smallest hash is kept as a fingerprint.
 A span of ``span`` = 10 words holds exactly 6 k-grams, so whenever a document and a benchmark item share 10
 consecutive words they share the fingerprint of that very window: no shared span of that length is missed.
-Fingerprints are joined; each meeting is extended to the windows around it, which are compared as a whole (by a
-64-bit hash chained over all their words), and the windows found mark the document's words.
+Items of fewer than ``span`` words are one window of their own length, whose hash is its fingerprint.
 
-Items of fewer than ``span`` words are one window of their own length, compared directly.
+1. Fingerprints of all documents are joined with the benchmark's.  That is one pass over the texts, which counts their
+   words as well; nothing but a row for each text and the texts that met goes on.
+2. Each meeting is extended: in the texts that met, the windows of each fingerprint are compared with the items'
+   windows word by word (an equal join on fingerprint and words, so a fingerprint that many windows have multiplies
+   nothing), and the windows found mark the document's words.
 
-The work is per document row and needs no shuffle of text: one explode of fingerprints, a join with the
-benchmark's (broadcast while their number is under ``BROADCAST_ROWS``, else shuffled), and aggregates over what
-met.  Texts are identified by two 64-bit hashes, so copies and repeated doc_ids are no special case.
+The benchmark's side is broadcast while it has at most ``BROADCAST_ROWS`` rows, else shuffled.  Texts are identified
+by two 64-bit hashes, so copies and repeated doc_ids are no special case.
 
 Defined results: null and word-less texts have no words, no items and are not contaminated; null or word-less
-items match nothing; a repeated item_id counts once; extra columns are ignored.
+items match nothing, nor does an item without an id; a repeated item_id counts once; ties between hashes cannot
+matter, as words decide; repeated rows give equal rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from casewright.llm.columns import let
 from casewright.session import cut
 
 SPAN, GRAM = 10, 5
@@ -50,85 +55,81 @@ def _positions(count: Column) -> Column:
     return F.when(count > 0, F.sequence(F.lit(0), (count - 1).cast("int"))).otherwise(F.array().cast("array<int>"))
 
 
-def windows(df: DataFrame, keys: list[str], words: str, span: int = SPAN, gram: int = GRAM) -> DataFrame:
-    """keys, mark (fingerprint), first (position) and full (hashes of the windows from there on that it stands for).
-
-    Consecutive windows with one and the same fingerprint form one row.
-    """
+def _marks(words: Column, sizes: list[int], span: int, gram: int) -> Column:
+    """Arrays of the fingerprints of a text's windows, by place: of ``span`` words, then of each of the ``sizes``."""
     wide = span - gram + 1
-    w = F.transform(F.col(words), lambda x: F.xxhash64(x))
-    hashed = df.select(*keys, w.alias("w"))
-    n = F.size("w")
-    grams = F.transform(_positions(n - (gram - 1)), lambda i: F.xxhash64(*[_at(F.col("w"), i + j) for j in range(gram)]))
-    hashed = hashed.select(*keys, grams.alias("g"))
-    count = F.size("g") - (wide - 1)
-    marks = F.transform(_positions(count), lambda i: F.least(*[_at(F.col("g"), i + j) for j in range(wide)]))
-    step = span // gram
-    full = F.transform(_positions(count), lambda i: F.xxhash64(*[_at(F.col("g"), i + j * gram) for j in range(step)]))
-    hashed = hashed.select(*keys, marks.alias("m"), full.alias("f"))
-    starts = F.filter(_positions(F.size("m")), lambda i: (i == 0) | (_at(F.col("m"), i) != F.element_at("m", F.greatest(i, F.lit(1)))))
-    runs = hashed.select(*keys, "m", "f", starts.alias("s"))
-    run = F.transform(
-        F.col("s"),
-        lambda at, i: F.struct(
-            _at(F.col("m"), at).alias("mark"),
-            at.alias("first"),
-            # not slice(), which copies the whole array each time
-            F.transform(F.sequence(at, F.coalesce(F.try_element_at("s", (i + 2).cast("int")), F.size("m")) - 1), lambda j: _at(F.col("f"), j)).alias("full"),
-        ),
-    )
-    # explode_outer: for explode() Spark adds a filter on the array and pushes it below, where all is computed again.
-    return runs.select(*keys, run.alias("r")).select(*keys, F.explode_outer("r").alias("r")).where("r is not null").select(*keys, "r.*")
 
+    def winnowed(w: Column) -> Column:
+        grams = F.transform(_positions(F.size(w) - (gram - 1)), lambda i: F.xxhash64(*[_at(w, i + j) for j in range(gram)]))
+        return let(grams, lambda g: F.transform(_positions(F.size(g) - (wide - 1)), lambda i: F.least(*[_at(g, i + j) for j in range(wide)])))
 
-def short_windows(df: DataFrame, keys: list[str], words: str, length: int) -> DataFrame:
-    """keys, full (hash of ``length`` consecutive words), at (position)."""
-    full = F.transform(
-        _positions(F.size(words) - (length - 1)),
-        lambda i: F.struct(F.xxhash64(F.lit(length), *[_at(F.col(words), i + j) for j in range(length)]).alias("full"), i.alias("at")),
-    )
-    return df.select(*keys, F.explode_outer(full).alias("x")).where("x is not null").select(*keys, "x.*")
+    def short(w: Column, n: int) -> Column:
+        return F.transform(_positions(F.size(w) - (n - 1)), lambda i: F.xxhash64(F.lit(n), *[_at(w, i + j) for j in range(n)]))
+
+    hashes = F.transform(words, lambda x: F.xxhash64(x))
+    return let(hashes, lambda w: F.array(winnowed(w), *[short(w, n) for n in sizes]))
+
+
+def _windows(df: DataFrame, keys: list[str], sizes: list[int], span: int, gram: int) -> DataFrame:
+    """keys, mark, at, length and window (its words) of every window; ``df`` holds the keys and words."""
+    lengths = [span, *sizes]
+    marked = df.select(*keys, "words", F.posexplode_outer(_marks(F.col("words"), sizes, span, gram)).alias("k", "marks"))
+    rows = marked.select(*keys, "words", "k", F.posexplode_outer("marks").alias("at", "mark")).where("mark is not null")
+    length = F.element_at(F.array(*[F.lit(n) for n in lengths]), F.col("k") + 1)
+    return rows.select(*keys, "mark", "at", length.alias("length"), F.array_join(F.slice("words", F.col("at") + 1, length), " ").alias("window"))
 
 
 def _bounded(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def hits(documents: DataFrame, items: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
-    """(key, at, length, full): every place in a document where a window of an item stands.
+@dataclass
+class Benchmark:
+    """(wid, mark, length, window) of every distinct window of the items, the items of each, and what sizes there are."""
+
+    windows: DataFrame
+    items: DataFrame
+    sizes: list[int]
+    rows: int
+
+    @staticmethod
+    def of(benchmark: DataFrame, span: int, gram: int) -> Benchmark:
+        items = benchmark.where(F.col("item_id").isNotNull()).select("item_id", words_of(F.col("text")).alias("words"))
+        items = cut(items.where(F.size("words") > 0).distinct())
+        sizes = sorted(r.n for r in items.select(F.size("words").alias("n")).where(F.col("n") < span).distinct().collect())  # below span
+        long = _windows(items.where(F.size("words") >= span), ["item_id"], [], span, gram)
+        parts = [_windows(items.where(F.size("words") == n), ["item_id"], [n], span, gram).where(F.col("length") == n) for n in sizes]
+        found = cut(reduce(DataFrame.unionByName, parts, long).select("item_id", "mark", "length", "window").distinct())
+        own = cut(found.select("mark", "length", "window").distinct().withColumn("wid", F.monotonically_increasing_id()))
+        named = cut(found.join(own, ["mark", "length", "window"]).select("wid", "item_id"))
+        return Benchmark(own, named, sizes, named.count())
+
+
+def meetings(documents: DataFrame, items: Benchmark, span: int, gram: int) -> DataFrame:
+    """A row (the columns of ``documents``, key, n_words, met = false) of each document, and one with met = true for
+    each fingerprint that it shares with an item.  ``documents`` must hold text, which is left out.
+    """
+    others = [c for c in documents.columns if c != "text"]
+    read = documents.select(*others, text_key(F.col("text")).alias("key"), words_of(F.col("text")).alias("words"))
+    marks = F.array_distinct(F.flatten(_marks(F.col("words"), items.sizes, span, gram)))
+    # The first mark stands for the document itself.  A struct of both, so that words are made once.
+    both = F.when(F.size("words") > 0, marks).otherwise(F.array().cast("array<long>"))
+    read = read.select(*others, "key", F.size("words").cast("long").alias("n_words"), F.posexplode_outer(F.concat(F.array("key.a"), both)).alias("place", "mark"))
+    prints = items.windows.select("mark", F.lit(True).alias("known")).distinct()
+    rows = read.join(_bounded(prints, items.rows), "mark", "left").withColumn("met", F.col("known").isNotNull() & (F.col("place") > 0))
+    return rows.where("met or place = 0").select(*others, "key", "n_words", "met")
+
+
+def contamination(documents: DataFrame, items: Benchmark, met: DataFrame, span: int, gram: int) -> DataFrame:
+    """(key, n_hit, items): for each contaminated text, how many of its words are hit and the items (as text).
 
-    ``documents`` holds key and words; ``items`` holds item_id and words.
+    ``met`` holds the keys of the texts to look at.
     """
-    sizes = [r.n for r in items.select(F.size("words").alias("n")).where(f"n between 1 and {span - 1}").distinct().collect()]
-    own = cut(windows(items, ["item_id"], "words", span, gram).select("mark", "full").distinct())
-    prints = own.groupBy("mark").agg(F.array_distinct(F.flatten(F.collect_list("full"))).alias("theirs"))
-    met = windows(documents, ["key"], "words", span, gram).join(_bounded(prints, own.count()), "mark")
-    # Extend a meeting to the windows it stands for, and keep those that are a window of an item.
-    found = met.select("key", "first", "theirs", F.posexplode_outer("full").alias("i", "full"))
-    found = found.where(F.array_contains("theirs", F.col("full")))
-    out = [found.select("key", (F.col("first") + F.col("i")).alias("at"), F.lit(span).alias("length"), "full")]
-    for n in sorted(sizes):
-        theirs = short_windows(items.where(F.size("words") == n), ["item_id"], "words", n).select("full").distinct()
-        met = short_windows(documents, ["key"], "words", n).join(_bounded(theirs, theirs.count()), "full")
-        out.append(met.select("key", "at", F.lit(n).alias("length"), "full"))
-    return reduce(DataFrame.unionByName, out).distinct()
-
-
-def item_windows(items: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
-    """(full, item_id) of every window of every item."""
-    long = windows(items, ["item_id"], "words", span, gram).select("item_id", F.explode_outer("full").alias("full"))
-    sizes = [r.n for r in items.select(F.size("words").alias("n")).where(f"n between 1 and {span - 1}").distinct().collect()]
-    parts = [short_windows(items.where(F.size("words") == n), ["item_id"], "words", n).select("item_id", "full") for n in sorted(sizes)]
-    return reduce(DataFrame.unionByName, parts, long).distinct()
-
-
-def contamination(documents: DataFrame, benchmark: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
-    """(key, n_hit, items): for each contaminated text, how many of its words are hit and the items (as text)."""
-    docs = documents.select(text_key(F.col("text")).alias("key"), words_of(F.col("text")).alias("words"))
-    docs = docs.where(F.size("words") > 0)
-    items = benchmark.where(F.col("item_id").isNotNull()).select("item_id", words_of(F.col("text")).alias("words"))
-    items = cut(items.where(F.size("words") > 0).distinct())
-    places = cut(hits(docs, items, span, gram))
+    n = met.count()
+    keyed = documents.select(text_key(F.col("text")).alias("key"), "text").join(_bounded(met, n), "key", "left_semi")
+    texts = keyed.groupBy("key").agg(F.first("text").alias("text")).select("key", words_of(F.col("text")).alias("words"))
+    placed = _windows(texts, ["key"], items.sizes, span, gram)
+    places = cut(placed.join(_bounded(items.windows, items.rows), ["mark", "length", "window"]).select("key", "at", "length", "wid"))
     # Words hit: each place adds its words beyond the furthest end of the places before it.
     spans = F.array_sort(F.collect_set(F.struct("at", (F.col("at") + F.col("length")).alias("end"))))
     folded = F.aggregate(
@@ -141,29 +142,30 @@ def contamination(documents: DataFrame, benchmark: DataFrame, span: int = SPAN,
         lambda acc: acc.n.cast("long"),
     )
     n_hit = places.groupBy("key").agg(folded.alias("n_hit"))
-    of_items = item_windows(items, span, gram)
-    named = places.select("key", "full").distinct().join(_bounded(of_items, of_items.count()), "full")
+    named = places.select("key", "wid").distinct().join(_bounded(items.items, items.rows), "wid")
     named = named.groupBy("key").agg(F.array_sort(F.transform(F.collect_set("item_id"), lambda i: i.cast("string"))).alias("items"))
     return n_hit.join(named, "key")
 
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated of every row of ``documents``."""
-    found = cut(contamination(documents, benchmark, span, gram))
-    text = F.col("text")
-    rows = documents.select("doc_id", text_key(text).alias("key"), F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("n_words"))
-    items = F.coalesce("items", F.array().cast("array<string>"))
-    return rows.join(found, "key", "left").select(
+    items = Benchmark.of(benchmark, span, gram)
+    rows = cut(meetings(documents.select("doc_id", "text"), items, span, gram))
+    found = cut(contamination(documents, items, cut(rows.where("met").select("key").distinct()), span, gram))
+    named = F.coalesce("items", F.array().cast("array<string>"))
+    return rows.where("not met").join(_bounded(found, found.count()), "key", "left").select(
         "doc_id",
         "n_words",
         F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
-        F.size(items).cast("long").alias("n_items"),
-        F.sha2(F.array_join(items, ","), 256).alias("items_sha256"),
+        F.size(named).cast("long").alias("n_items"),
+        F.sha2(F.array_join(named, ","), 256).alias("items_sha256"),
         (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
     )
 
 
 def drop_contaminated(documents: DataFrame, benchmark: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
     """The rows of ``documents`` without a shared window, with all their columns."""
-    found = cut(contamination(documents, benchmark, span, gram).select(F.col("key").alias("__met")))
+    items = Benchmark.of(benchmark, span, gram)
+    met = cut(meetings(documents.select("text"), items, span, gram).where("met").select("key").distinct())
+    found = cut(contamination(documents, items, met, span, gram).select(F.col("key").alias("__met")))
     return documents.join(_bounded(found, found.count()), text_key(F.col("text")).eqNullSafe(F.col("__met")), "left_anti")
