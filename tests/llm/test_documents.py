@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -72,6 +73,7 @@ def test_join_in_chunks(spark, monkeypatch, change):
     monkeypatch.setattr(ngram_join, "CHUNK", 4)
     monkeypatch.setattr(ngram_join, "HOT", 2)
     monkeypatch.setattr(ngram_join, "SPREAD", 5)
+    monkeypatch.setattr(ngram_join, "SMALL", 3)
     rng = random.Random(2)
     base = [f"v{i}" for i in range(60)]
     rows = [(i, " ".join(w if rng.random() > change else f"z{rng.randrange(999)}" for w in base)) for i in range(40)]
@@ -80,6 +82,20 @@ def test_join_in_chunks(spark, monkeypatch, change):
     assert joined(df) == want and 1 < len({c for _, _, c in want}) <= 40
 
 
+def test_large_groups_by_trees(spark, monkeypatch):
+    """The trees and the pairs at once give the same, in groups of a few and of many nodes of many sizes."""
+    rng = random.Random(8)
+    rows = []
+    for g in range(12):
+        base = [f"g{g}w{i}" for i in range(rng.choice([8, 40, 200]))]
+        rows += [(len(rows), " ".join(w if rng.random() > 0.02 else f"z{rng.randrange(999)}" for w in base[: len(base) - rng.randrange(len(base) // 4)])) for _ in range(rng.choice([2, 5, 30]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = brute_components(rows)
+    for small in (0, 4, 1000):
+        monkeypatch.setattr(ngram_join, "SMALL", small)
+        assert joined(df) == want
+
+
 def test_clusters_equal_plain_union():
     """Of random relations, with labels that are joined already and nodes that are not looked from."""
     import numpy as np
@@ -234,46 +250,47 @@ def test_license_base_equals_brute_force(spark):
     assert licenses.scan_licenses(X.empty(spark)).collect() == []
 
 
-def test_every_license_rule_has_its_keyword_and_matches_its_name():
-    assert len(licenses.RULES) > 200
+def brute_licenses(text):
+    """Labels and score by Python's regexes over all rules, without keywords or gate."""
+    norm = " " + " ".join(plain_words(text)) + " "
+    found = []
     for r in licenses.RULES:
-        re.compile(r.pattern)
-
-
-def forms(pattern):
-    """Every text that a rule's pattern matches: groups, alternatives, classes and ``?`` written out."""
-
-    def read(i):
-        out, texts = [], [""]
-        while i < len(pattern) and pattern[i] != ")":
-            if pattern[i] == "|":
-                out, texts, i = out + texts, [""], i + 1
-                continue
-            if pattern.startswith("(?:", i):
-                atom, i = read(i + 3)
-                i += 1
-            elif pattern[i] == "[":
-                end = pattern.index("]", i)
-                body, i = pattern[i + 1 : end], end + 1
-                atom = [chr(c) for c in range(ord(body[0]), ord(body[2]) + 1)] if "-" in body else list(body)
-            else:
-                atom, i = [pattern[i]], i + 1
-            if pattern[i : i + 1] == "?":
-                atom, i = [*atom, ""], i + 1
-            texts = [a + b for a in texts for b in atom]
-        return out + texts, i
-
-    return set(read(0)[0])
-
-
-def test_every_match_of_a_license_rule_passes_both_gates():
-    keywords = defaultdict(set)
+        for m in re.finditer(rf"(?<= )(?:{r.pattern})(?= )", norm):
+            start = norm[: m.start()].count(" ") - 1
+            found.append((start, -(start + m[0].count(" ")), -r.priority, r.label, r.base))
+    kept = []
+    for h in sorted(found):
+        furthest = max(kept, key=lambda k: -k[1], default=None)  # the first of those that reach furthest
+        if h[4] or furthest is None or h[1] < furthest[1] or h[2] < furthest[2]:
+            kept.append(h)
+    return ",".join(sorted({h[3] for h in kept})), min(1.0, max((-h[2] for h in kept), default=0) / 100)
+
+
+def test_license_rules_are_distinct_and_hold_their_keywords():
+    patterns = [r.pattern for r in licenses.RULES]
+    assert len(patterns) == len(set(patterns)) > 300
     for r in licenses.RULES:
-        keywords[r.pattern].add(r.keyword)
-    for pattern, some in keywords.items():
-        for text in forms(pattern):
-            assert re.fullmatch(pattern, text)
-            assert any(k in text for k in some) and re.search(licenses.GATE, text), text
+        for text in licenses.forms(r.pattern):
+            assert re.fullmatch(r.pattern, text)
+            assert set(r.keywords) & set(text.split()) and re.search(licenses.GATE, text), text
+
+
+def test_licenses_equal_brute_force_for_a_sample_of_each_rule(spark):
+    """One text for each rule, and texts of several rules' samples that touch and overlap."""
+    rng = random.Random(6)
+    samples = [rng.choice(sorted(licenses.forms(r.pattern))) for r in licenses.RULES]
+    rows = [(i, f"So, {t.upper() if i % 3 else t.replace(' ', '-')}; and on.") for i, t in enumerate(samples)]
+    for i in range(150):
+        picked = rng.sample(samples, rng.randrange(2, 6))
+        cut = [" ".join(t.split()[rng.randrange(2) : None if rng.random() < 0.7 else -1]) for t in picked]
+        rows.append((1000 + i, rng.choice([" ", ", ", " x "]).join(cut)))
+    rows.append((2000, "the mit license " * 3000))
+    got = {r.doc_id: (r.labels, r.score) for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for d, t in rows:
+        assert got[d] == brute_licenses(t), t
+    # each rule's own label, or one of a rule that covers the same words at least as surely
+    assert sum(r.label in got[i][0].split(",") for i, r in enumerate(licenses.RULES)) > 0.9 * len(licenses.RULES)
+    assert all(got[i][0] for i in range(len(licenses.RULES)))
 
 
 def test_licenses_behind_the_gates_are_found(spark):
@@ -313,6 +330,23 @@ def test_redaction_leaves_nothing_and_touches_nothing_else(spark):
     assert not any(k in ("assign", "access", "hex") for k, *_ in secrets.spans_of(masked.text)) and masked.n_chars == len(masked.text)
 
 
+def test_many_secrets_in_one_text(spark):
+    """100,000 matches take linear-like time; masks stand where the spans are, beyond the basic plane too."""
+    text = "\U0001f600 é" + " ".join(f"deadbeef{i:08x}" for i in range(100_000))
+    df = spark.createDataFrame([(1, text), (2, "x")], "doc_id long, text string")
+    begin = time.monotonic()
+    row = secrets.scan_secrets(df).where("doc_id = 1").first()
+    assert row.n_hex == 100_000 and row.spans == ",".join(f"{k}:{a}:{b}" for k, a, b in secrets.spans_of(text))
+    assert secrets.redact(df).where("doc_id = 1").first().text == "\U0001f600 é" + " ".join(["<SECRET>"] * 100_000)
+    assert time.monotonic() - begin < 120
+
+
+def test_masks_join_over_overlapping_spans(spark):
+    text = 'é token="deadbeefdeadbeef0" \U0001f600 password: ' + "a" * 20 + " end"
+    got = secrets.redact(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().text
+    assert got == 'é <SECRET>" \U0001f600 <SECRET> end'
+
+
 @pytest.mark.parametrize("rule", secrets.RULES, ids=lambda r: r.kind)
 def test_trigram_queries_hold_for_matches(rule):
     query = secrets.trigram_query(rule.pattern)
