@@ -292,7 +292,8 @@ def groups_of(postings: DataFrame, hot: tuple[np.ndarray, np.ndarray]) -> DataFr
             g = np.repeat(first, np.diff(np.r_[starts, len(token)]))
             token_before, first_before = token[-1], g[-1]
             other = g != node
-            yield pd.DataFrame({"g": g[other], "node": node[other]}).drop_duplicates()
+            names = np.unique(g[other])
+            yield pd.DataFrame({"g": np.r_[g[other], names], "node": np.r_[node[other], names]}).drop_duplicates()
 
     spark = postings.sparkSession
     token, count = hot
@@ -305,9 +306,8 @@ def groups_of(postings: DataFrame, hot: tuple[np.ndarray, np.ndarray]) -> DataFr
     found = dealt.mapInPandas(task, "g long, node long")
     if many is not None:
         smallest = many.groupBy("token").agg(F.min("node").alias("g"))
-        found = found.unionAll(many.join(F.broadcast(smallest), "token").where("g <> node").select("g", "node"))
-    found = found.distinct()
-    return cut(found.unionAll(found.select("g", F.col("g").alias("node")).distinct()))
+        found = found.unionAll(many.join(F.broadcast(smallest), "token").select("g", "node"))
+    return cut(found.distinct())
 
 
 def connected(rows: DataFrame, numerator: int) -> DataFrame:
@@ -435,6 +435,10 @@ def _texts(texts: DataFrame, wanted: DataFrame) -> DataFrame:
 def _links(parts: DataFrame, info: DataFrame, texts: DataFrame, words: int, numerator: int) -> DataFrame:
     """Links within the chunks of ``parts`` (g, h, node, label, role)."""
     near = cut(connected(parts.join(info.select("node", "n", "point"), "node"), numerator))
+    # Near copies share several names, so one part may have been met in several groups: it is verified once.
+    same = F.struct(F.bit_xor(F.xxhash64("node", "label", "role")).alias("a"), F.bit_xor(F.xxhash64("role", "node", "label", F.lit(1))).alias("b"), F.count(F.lit(1)).alias("k"))
+    kinds = near.groupBy("g", "h", "part").agg(same.alias("same")).groupBy("same").agg(F.min(F.struct("g", "h", "part")).alias("first"))
+    near = cut(near.join(kinds.select("first.*"), ["g", "h", "part"], "left_semi"))
     wanted = cut(near.select("node").distinct().join(info.select("node", "doc_id", "tk"), "node"))
     return cut(verified(near.join(_texts(texts, wanted), "node"), words, numerator))
 
