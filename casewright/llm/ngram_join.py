@@ -482,9 +482,11 @@ def jaccard_join(documents: DataFrame, words: int = 5, numerator: int = NUMERATO
         labels = components(links)
 
     named = cut(rows.select("doc_id", "tk", "n", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
-    smallest = named.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    out = named.join(smallest, "label", "left")
-    own = F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    # A row that is alone needs no join; the others' labels are broadcast while they are few, so a hot one gathers nowhere.
+    smallest = named.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("k"))
+    smallest = cut(smallest.where("k > 1").select("label", "component_id", F.lit(True).alias("several")))
+    out = named.join(F.broadcast(smallest) if smallest.count() <= BROADCAST_ROWS else smallest, "label", "left")
+    own = F.when(F.col("several"), F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), "tk", "node", "label")
 
 
@@ -494,9 +496,11 @@ def keep_one(documents: DataFrame, words: int = 5, numerator: int = NUMERATOR) -
     Components are told apart by their label: a component_id may be null or shared where doc_ids are null or repeated.
     """
     found = cut(jaccard_join(documents, words, numerator).where("node is not null").select("doc_id", "label", "tk"))
-    per_text = found.groupBy("label", "doc_id", "tk").agg(F.count(F.lit(1)).alias("k"))
-    best = per_text.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tk")).alias("w"))
-    judged = per_text.join(best, "label").select("doc_id", "tk", "k", (F.col("doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("tk") == F.col("w.tk"))).alias("stays"))
+    per_text = cut(found.groupBy("label", "doc_id", "tk").agg(F.count(F.lit(1)).alias("k")))
+    best = per_text.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tk")).alias("w"), F.sum("k").alias("all"))
+    best = cut(best.where(F.col("all") > 1).select("label", "w"))  # a row that is alone stays without a join
+    several = per_text.join(F.broadcast(best) if best.count() <= BROADCAST_ROWS else best, "label")
+    judged = several.select("doc_id", "tk", "k", (F.col("doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("tk") == F.col("w.tk"))).alias("stays"))
     judged = cut(judged.where("not stays or k > 1").select(F.col("doc_id").alias("__id"), F.col("tk").alias("__tk"), "stays"))
     n = judged.count()
     side = F.broadcast(judged) if n <= BROADCAST_ROWS else judged
