@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from casewright.functions.markup import link_opinions
 from casewright.operators import puzzles
 from casewright.operators.paths import MODES, shortest_paths
 
@@ -18,12 +19,16 @@ class ApiError(Exception):
 
 
 class Api:
-    """nodes: id, name, cite, year, date, cited_all, cited_scotus, is_real (and text for races); edges: citing, cited."""
+    """nodes: id, name, cite, year, date, cited_all, cited_scotus, is_real (and text for races); edges: citing, cited.
+
+    opinions: cap_id, node, html, cites_to; records: cap_id, node (what cap_ids mean).  Without them cases have no text.
+    """
 
     FIELDS = ("id", "name", "cite", "year", "date", "cited_all", "cited_scotus", "is_real")
 
-    def __init__(self, nodes: DataFrame, edges: DataFrame, starters: DataFrame | None = None, routes: DataFrame | None = None):
+    def __init__(self, nodes: DataFrame, edges: DataFrame, starters: DataFrame | None = None, routes: DataFrame | None = None, opinions: DataFrame | None = None, records: DataFrame | None = None):
         self.nodes, self.edges, self.starters_table, self.routes = nodes, edges, starters, routes
+        self.opinions, self.records = opinions, records
 
     def _mode(self, mode: str) -> str:
         if mode not in MODES:
@@ -69,6 +74,7 @@ class Api:
 
     def opponent(self, seed: int, at: int, target: int, visited: list[int], mode: str = "any") -> dict:
         spark = self.nodes.sparkSession
+        self._objects(list(dict.fromkeys([at, target, *visited])))
         if self.routes is not None and visited and visited[-1] == at:
             key = f"{self._mode(mode)}:{visited[0]}-{target}"
             trail = spark.createDataFrame([(key, visited)], "key string, visited array<long>")
@@ -84,7 +90,17 @@ class Api:
         cites = self.edges.where(F.col("citing") == id).select(F.col("cited").alias("id")).join(n, "id").orderBy(F.coalesce("year", F.lit(0)), "date", "id")
         by = self.edges.where(F.col("cited") == id).select(F.col("citing").alias("id")).join(n, "id")
         top = by.orderBy(F.desc("cited_all"), "id").limit(limit)
-        return node | {"cites": [r.id for r in cites.collect()], "cited_by": [r.id for r in top.collect()], "cited_by_total": by.count()}
+        lists = {"cites": [r.id for r in cites.collect()], "cited_by": [r.id for r in top.collect()], "cited_by_total": by.count()}
+        return node | lists | self._text(id)
+
+    def _text(self, id: int) -> dict:
+        """The linked opinion of one node, its counts, and a note where there is none."""
+        if self.opinions is not None and self.records is not None:
+            own = self.opinions.where(F.col("node") == id).orderBy("cap_id").limit(1)
+            row = link_opinions(own, self.records).first()
+            if row is not None:
+                return {"html": row.html, "text_stats": row.stats.asDict(), "note": None}
+        return {"html": None, "text_stats": None, "note": "no text of this case"}
 
     def stats(self) -> dict:
         return self.nodes.agg(F.count(F.lit(1)).alias("nodes"), F.count_if("is_real").alias("real")).first().asDict() | {"edges": self.edges.count()}

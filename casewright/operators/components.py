@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casewright.session import cut
+from casewright.session import Scratch, cut
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -20,24 +20,25 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """
     x, y = F.col(a).alias("x"), F.col(b).alias("y")
     edges = links.select(x, y).where("x <> y")
-    edges = cut(edges.unionAll(edges.select("y", "x")).distinct())
-    names = []
-    while not edges.isEmpty():
-        def place(node: str, turn: int = len(names)):
-            return F.struct((F.xxhash64(node, F.lit(turn)) if turn else F.lit(0)).cast("long").alias("h"), F.col(node).alias("y"))
-
-        near, own = edges.groupBy("x").agg(F.min(place("y")).alias("near")), place("x")
-        named = cut(near.select(F.col("x").alias("node"), F.least("near", own)["y"].alias("name")))
-        names.append(named)
-        ends = edges.join(named.select(F.col("node").alias("x"), F.col("name").alias("p")), "x")
-        ends = ends.join(named.select(F.col("node").alias("y"), F.col("name").alias("q")), "y")
-        edges = cut(ends.where("p <> q").select(F.col("p").alias("x"), F.col("q").alias("y")).distinct())
-    if not names:
-        return edges.select(F.col("x").alias("node"), F.col("y").alias("label"))
-    last = names.pop()
-    while names:
-        root = last.select(F.col("node").alias("name"), F.col("name").alias("root"))
-        last = names.pop().join(root, "name", "left").select("node", F.coalesce("root", "name").alias("name"))
-    last = cut(last)
-    smallest = last.groupBy("name").agg(F.min("node").alias("label"))
-    return cut(last.join(smallest, "name").select("node", "label"))
+    with Scratch(links.sparkSession) as scratch:
+        edges = scratch.keep(edges.unionAll(edges.select("y", "x")).distinct())
+        names = []
+        while not edges.isEmpty():
+
+            def place(node: str, turn: int = len(names)):
+                return F.struct((F.xxhash64(node, F.lit(turn)) if turn else F.lit(0)).cast("long").alias("h"), F.col(node).alias("y"))
+
+            near, own = edges.groupBy("x").agg(F.min(place("y")).alias("near")), place("x")
+            named = scratch.keep(near.select(F.col("x").alias("node"), F.least("near", own)["y"].alias("name")))
+            names.append(named)
+            ends = edges.join(named.select(F.col("node").alias("x"), F.col("name").alias("p")), "x")
+            ends = ends.join(named.select(F.col("node").alias("y"), F.col("name").alias("q")), "y")
+            edges = scratch.keep(ends.where("p <> q").select(F.col("p").alias("x"), F.col("q").alias("y")).distinct())
+        if not names:
+            return cut(edges.select(F.col("x").alias("node"), F.col("y").alias("label")))
+        last = names.pop()
+        while names:
+            root = last.select(F.col("node").alias("name"), F.col("name").alias("root"))
+            last = scratch.keep(names.pop().join(root, "name", "left").select("node", F.coalesce("root", "name").alias("name")))
+        smallest = last.groupBy("name").agg(F.min("node").alias("label"))
+        return cut(last.join(smallest, "name").select("node", "label"))

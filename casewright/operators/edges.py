@@ -59,6 +59,31 @@ def respects_time() -> Column:
     return ~F.coalesce(known & (F.col("year_b") > F.col("year_a")), F.lit(False))
 
 
+def is_same_case() -> Column:
+    """Whether both ends of an edge with metadata are one and the same case."""
+    return T.same_case(*[F.col(f"{c}_{s}") for s in "ab" for c in ("year", "cite", "name")])
+
+
+def ordered(edges: DataFrame) -> DataFrame:
+    """Edges by citing, then cited (a range-partitioned sort)."""
+    return edges.orderBy("citing", "cited")
+
+
+def typed_map(raw: DataFrame) -> DataFrame:
+    """Opinion-level cites from text columns (citing_opinion, cited_opinion, depth): rows with an id that is no number
+    are left out; an empty or null depth counts 1, and any other depth that is no number leaves its row out too."""
+    number = lambda c: F.col(c).try_cast("long")
+    empty = F.coalesce(F.trim("depth"), F.lit("")) == ""
+    rows = raw.select(number("citing_opinion").alias("citing_opinion"), number("cited_opinion").alias("cited_opinion"), F.when(empty, F.lit(1)).otherwise(number("depth")).cast("long").alias("depth"))
+    return rows.where("citing_opinion is not null and cited_opinion is not null and depth is not null")
+
+
+def known_of(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """``rows`` with a column known: whether their key is among ``keys`` (so that misses can be counted as well)."""
+    held = keys.select(F.col(key)).distinct().withColumn("known", F.lit(True))
+    return rows.join(held, key, "left").withColumn("known", F.coalesce("known", F.lit(False)))
+
+
 def fold_map(marked: DataFrame) -> DataFrame:
     """(id, canonical) of clusters folded into the best-connected one (ties: lowest id) of their component.
 
@@ -66,7 +91,7 @@ def fold_map(marked: DataFrame) -> DataFrame:
     """
     ends = marked.select("citing", "cited")
     degree = ends.select(F.col("citing").alias("id")).union(ends.select("cited")).groupBy("id").agg(F.count(F.lit(1)).alias("degree"))
-    same = marked.where(T.same_case(*[F.col(f"{c}_{s}") for s in "ab" for c in ("year", "cite", "name")]))
+    same = marked.where(is_same_case())
     labels = components(same, "citing", "cited").join(degree, F.col("node") == degree.id)
     best = labels.groupBy("label").agg(F.max_by("node", F.struct("degree", -F.col("node"))).alias("canonical"))
     return labels.join(best, "label").where("node <> canonical").select(F.col("node").alias("id"), "canonical")

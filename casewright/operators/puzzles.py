@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from casewright.functions import text as T
 from casewright.functions.seeded import generator, pick
-from casewright.operators.paths import REVERSE, distances, hops
+from casewright.operators.paths import REVERSE, distances, distances_to, hops
+from casewright.session import cut
 
 
 def targets_from(edges: DataFrame, nodes: DataFrame, start: DataFrame, mode: str = "any", low: int = 3, high: int = 5) -> DataFrame:
@@ -23,21 +25,88 @@ def starts_for(edges: DataFrame, nodes: DataFrame, target: DataFrame, mode: str
     return near.join(nodes.where("is_real").select("id"), "id", "left_semi").select(F.col("source").alias("target"), "id", "d")
 
 
-def draw_puzzle(edges: DataFrame, nodes: DataFrame, seed: object, mode: str = "any", tries: int = 500) -> dict | None:
-    """A seeded puzzle (start, target, shortest, par), or None.  The draw is made on the driver, over ids alone."""
+def nth(rows: DataFrame, at: int) -> Row:
+    """The row at a place in the order of ids: one row reaches the driver."""
+    return rows.orderBy("id").offset(at).limit(1).first()
+
+
+def drawn(rng, rows: DataFrame) -> Row | None:
+    """A seeded row of an id table; only its count and that row reach the driver."""
+    n = rows.count()
+    return nth(rows, int(rng() * n)) if n else None
+
+
+def draw_puzzle(edges: DataFrame, nodes: DataFrame, seed: object, mode: str = "any", tries: int = 500, pool: DataFrame | None = None) -> dict | None:
+    """A seeded puzzle (start, target, shortest, par), or None.
+
+    With a ``pool`` (start, target) of the mode the draw is one of its pairs; else a real start, then a real target
+    three to five hops away, again if there is none.  Candidates stay distributed: counts and single rows are drawn.
+    """
     rng = generator(seed if mode == "any" else f"{seed}:{mode}")
-    n = nodes.where("is_real").count()
-    ranked = nodes.where("is_real").select("id")
+    if pool is not None and not pool.isEmpty():
+        pair = drawn(rng, pool.withColumn("id", F.struct("start", "target")))
+        found = distances(edges, edges.sparkSession.createDataFrame([(pair.start,)], "id long"), 9, mode).where(F.col("id") == pair.target).first()
+        d = found.d if found else None
+        return {"seed": seed, "mode": mode, "start": pair.start, "target": pair.target, "shortest": d, "par": None if d is None else 1 if d == 1 else d + 2}
+    real = nodes.where("is_real").select("id")
+    n = real.count()
     for _ in range(tries if n else 0):
-        at = int(rng() * n)
-        start = ranked.orderBy("id").offset(at).limit(1)
-        found = targets_from(edges, nodes, start, mode).orderBy("id").collect()  # what lies within five hops
-        if found:
-            chosen = pick(rng, found)
+        start = edges.sparkSession.createDataFrame([(nth(real, int(rng() * n)).id,)], "id long")
+        chosen = drawn(rng, cut(targets_from(edges, nodes, start, mode)))
+        if chosen:
             return {"seed": seed, "mode": mode, "start": chosen.source, "target": chosen.id, "shortest": chosen.shortest, "par": chosen.par}
     return None
 
 
+def draw_pool(edges: DataFrame, nodes: DataFrame, mode: str, size: int, seed: object, targets: DataFrame | None = None, low: int = 2, high: int = 3) -> list[tuple[int, int]]:
+    """Up to ``size`` distinct seeded pairs (start, target): a target among ``targets`` (or the real nodes) and a real
+    start ``low`` to ``high`` hops before it; ``size * 50`` tries at most."""
+    rng = generator(f"pool:{seed}:{mode}")
+    ends = cut((targets if targets is not None else nodes.where("is_real")).select("id"))
+    n, out = ends.count(), []
+    for _ in range(size * 50 if n else 0):
+        if len(out) >= size:
+            break
+        target = edges.sparkSession.createDataFrame([(nth(ends, int(rng() * n)).id,)], "id long")
+        start = drawn(rng, cut(starts_for(edges, nodes, target, mode, low, high)))
+        if start and (start.id, start.target) not in out:
+            out.append((start.id, start.target))
+    return out
+
+
+class DistanceCache:
+    """Distances to targets by (target, mode), each searched once and kept as Parquet under ``path``."""
+
+    def __init__(self, edges: DataFrame, path: str, depth: int = 9):
+        self.edges, self.path, self.depth, self.spark = edges, path, depth, edges.sparkSession
+
+    def to(self, target: int, mode: str = "any") -> DataFrame:
+        """(target, id, d) of all nodes that reach the target within the depth."""
+        place = f"{self.path}/mode={mode}/target={int(target)}"
+        try:
+            return self.spark.read.parquet(place).select(F.lit(int(target)).cast("long").alias("target"), "id", "d")
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+        goal = self.spark.createDataFrame([(target,)], "id long")
+        distances_to(self.edges, goal, self.depth, mode).select("id", "d").write.mode("overwrite").parquet(place)
+        return self.to(target, mode)
+
+
+def curated_shortest(edges: DataFrame, pairs: DataFrame, cap: int = 8) -> DataFrame:
+    """Curated pairs (older, newer, year_older, year_newer) with shortest.any, .back and .forward (null beyond ``cap``).
+
+    The two change places if their years are the wrong way round; back runs from the newer, forward from the older.
+    """
+    wrong = F.col("year_older") > F.col("year_newer")
+    older, newer = F.when(wrong, F.col("newer")).otherwise(F.col("older")), F.when(wrong, F.col("older")).otherwise(F.col("newer"))
+    rows = cut(pairs.select(*[c for c in pairs.columns if c not in ("older", "newer", "year_older", "year_newer")], older.alias("older"), newer.alias("newer")))
+    for mode, a, b in (("any", "older", "newer"), ("back", "newer", "older"), ("forward", "older", "newer")):
+        found = distances(edges, rows.select(F.col(a).alias("id")).distinct(), cap, mode).select(F.col("source").alias(a), F.col("id").alias(b), F.col("d").alias(f"d_{mode}"))
+        rows = rows.join(found, [a, b], "left")
+    return rows.withColumn("shortest", F.struct(*[F.col(f"d_{m}").alias(m) for m in ("any", "back", "forward")])).drop("d_any", "d_back", "d_forward")
+
+
 def opponent_candidates(edges: DataFrame, nodes: DataFrame, at: int, target: int, visited: list[int], mode: str = "any", depth: int = 9) -> DataFrame:
     """(id, is_target, closer, top10): what an opponent at ``at`` may choose from."""
     spark = edges.sparkSession

@@ -218,3 +218,87 @@ def canon_nodes(canon: DataFrame, nodes: DataFrame) -> DataFrame:
     near = near.groupBy("cite", "canon").agg(F.min("node").alias("near"))
     out = c.select("cite", "canon").join(exact, ["cite", "canon"], "left").join(near, ["cite", "canon"], "left")
     return out.select("cite", F.col("canon").alias("name"), F.coalesce("node", "near").alias("node")).where("node is not null")
+
+
+def through_alias(resolved: DataFrame, alias: DataFrame) -> DataFrame:
+    """(id, node) with those added whose canonical record is resolved while they are not (alias: id, canonical)."""
+    open_ = alias.join(resolved.select("id"), "id", "left_anti")
+    added = open_.join(resolved.select(F.col("id").alias("canonical"), "node"), "canonical").select("id", "node")
+    return resolved.select("id", "node").unionByName(added)
+
+
+def text_index(texts: DataFrame, members: DataFrame, records: DataFrame) -> DataFrame:
+    """(node, record, volume, member, words, name), by node: the nodes' records whose page is in a volume.
+
+    texts: node, record; members: record, volume, member (what the volumes hold); records: record, words, name.
+    """
+    return texts.join(members, "record").join(records, "record").select("node", "record", "volume", "member", "words", "name").orderBy("node")
+
+
+def with_text_flags(nodes: DataFrame, index: DataFrame, real: int = 300) -> DataFrame:
+    """Nodes with has_text and is_real (a text of ``real`` words or more)."""
+    held = index.groupBy(F.col("node").alias("id")).agg(F.max("words").alias("words"))
+    return nodes.join(held, "id", "left").withColumn("has_text", F.col("words").isNotNull()).withColumn("is_real", F.coalesce(F.col("words") >= real, F.lit(False))).drop("words")
+
+
+def records_of(resolved: DataFrame) -> DataFrame:
+    """(node, records): each node's records, sorted."""
+    return resolved.groupBy("node").agg(F.array_sort(F.collect_set("id")).alias("records"))
+
+
+def looked_up(checks: DataFrame, nodes: DataFrame, cites: list[str], spaces: bool = True) -> DataFrame:
+    """Each check (label, cite) with the ids of the nodes that have its cite, or null; without ``spaces`` blanks don't count."""
+    key = (lambda c: F.col(c)) if spaces else (lambda c: F.replace(F.col(c), F.lit(" "), F.lit("")))
+    held = reduce(DataFrame.unionAll, [nodes.where(F.coalesce(F.col(c), F.lit("")) != "").select(key(c).alias("key"), "id") for c in cites]).distinct()
+    return checks.withColumn("key", key("cite")).join(held, "key", "left").select("label", "cite", "id")
+
+
+def path_counts(edges: DataFrame) -> DataFrame:
+    """How many resolved edges came one way only, by way, and how many by several (via is '+'-joined)."""
+    ways = F.split("via", "[+]")
+    return edges.select(F.when(F.size(ways) > 1, "several").otherwise(F.element_at(ways, 1)).alias("way")).groupBy("way").agg(F.count(F.lit(1)).alias("n"))
+
+
+def date_spans(records: DataFrame, source: str = "source", date: str = "date") -> DataFrame:
+    """(source, n, first, last): records and their dates (text, empty ones left out) by source; source null for all."""
+    some = F.nullif(F.col(date), F.lit(""))
+    return records.rollup(F.col(source).alias("source")).agg(F.count(F.lit(1)).alias("n"), F.min(some).alias("first"), F.max(some).alias("last"))
+
+
+def folded_items(rows: DataFrame) -> DataFrame:
+    """(item, label, title, year, cites) of rows (item, label, article, cite, date, ordinal): the first row's label and
+    title, the last known year, all distinct cites cleaned."""
+    first = lambda c: F.min_by(c, "ordinal")
+    dated = F.when(F.coalesce("date", F.lit("")) != "", F.col("ordinal"))
+    cite = F.when(F.coalesce("cite", F.lit("")) != "", T.clean_cite(F.col("cite")))
+    return rows.groupBy("item").agg(
+        first("label").alias("label"),
+        first(T.url_title(F.col("article"))).alias("title"),
+        F.max_by(F.substring("date", 1, 4), dated).try_cast("int").alias("year"),
+        F.array_sort(F.collect_set(cite)).alias("cites"),
+    )
+
+
+# Yearly views that the report counts cases above.
+VIEW_FLOORS = [50000, 20000, 10000, 5000, 2000]
+
+
+def by_views(cases: DataFrame) -> DataFrame:
+    """Notable cases (node, title, views), most viewed first, ties by node."""
+    return cases.orderBy(F.desc("views"), "node")
+
+
+def floors(cases: DataFrame, floors: list[int] = VIEW_FLOORS) -> DataFrame:
+    """One row: how many cases have at least each of the views."""
+    return cases.agg(*[F.count_if(F.col("views") >= f).alias(f"n{f}") for f in floors])
+
+
+def notable_targets(cases: DataFrame, nodes: DataFrame, least: int) -> DataFrame:
+    """(id, views) of real nodes of the graph with at least ``least`` views."""
+    return cases.where(F.col("views") >= least).select(F.col("node").alias("id"), "views").join(nodes.where("is_real").select("id"), "id", "left_semi")
+
+
+def last_year(today: Column) -> Column:
+    """Struct (first, last): the first days of the first and of the last of the 12 full months before a date."""
+    last = F.add_months(F.trunc(today, "month"), -1)
+    return F.struct(F.add_months(last, -11).alias("first"), last.alias("last"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from casewright.operators.components import components
 from casewright.operators.edges import degrees
 from casewright.operators.paths import distances, pair_distances
+from casewright.session import cut
 
 # Lower bounds of the two reports' degree bins.
 BINS_A = [0, 1, 2, 3, 6, 11, 21, 51, 101, 501]
@@ -49,12 +50,35 @@ def component_sizes(edges: DataFrame, nodes: DataFrame | None = None) -> DataFra
     return sizes.groupBy("size").agg(F.count(F.lit(1)).alias("n"))
 
 
+def within(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Edges whose both ends are among ``nodes``."""
+    ids = nodes.select("id")
+    return edges.join(ids, edges.citing == ids.id, "left_semi").join(ids, edges.cited == ids.id, "left_semi")
+
+
 def remove_hubs(edges: DataFrame, k: int, by: str = "indeg") -> DataFrame:
     """Edges that touch none of the k nodes of the largest ``by`` (indeg, or degree), ties to the lowest id."""
     hubs = F.broadcast(degrees(edges).orderBy(F.desc(by), "id").limit(k).select("id"))
     return edges.join(hubs, edges.citing == hubs.id, "left_anti").join(hubs, edges.cited == hubs.id, "left_anti")
 
 
+def remeasured(edges: DataFrame, k: int, by: str = "indeg", nodes: DataFrame | None = None) -> DataFrame:
+    """One row (nodes, edges, components, largest, share) of the graph without its k hubs.
+
+    With ``nodes`` the ones that the removal leaves alone stay, as components of one; else they are dropped.
+    """
+    kept = cut(remove_hubs(edges, k, by).select("citing", "cited"))
+    sizes = components(kept, "citing", "cited").groupBy("label").agg(F.count(F.lit(1)).alias("size")).select("size")
+    if nodes is not None:
+        hubs = F.broadcast(degrees(edges).orderBy(F.desc(by), "id").limit(k).select("id"))
+        ends = kept.select(F.col("citing").alias("id")).union(kept.select("cited"))
+        alone = nodes.select("id").join(hubs, "id", "left_anti").join(ends, "id", "left_anti")
+        sizes = sizes.unionAll(alone.select(F.lit(1).cast("long").alias("size")))
+    n = kept.agg(F.count(F.lit(1)).alias("edges"))
+    rows = sizes.agg(F.sum("size").alias("nodes"), F.count(F.lit(1)).alias("components"), F.max("size").alias("largest"))
+    return rows.join(F.broadcast(n)).select("nodes", "edges", "components", "largest", F.round(F.col("largest") / F.col("nodes"), 6).alias("share"))
+
+
 def sample_pairs(nodes: DataFrame, n: int, seed: int = 1) -> DataFrame:
     """n pairs (a, b) of distinct nodes, chosen by a seeded hash, so alike on any cluster; n is the sample's size."""
     order = lambda salt: F.xxhash64(F.col("id"), F.lit(seed), F.lit(salt))

@@ -23,29 +23,27 @@ reach(id, label) USING KEY (id) AS (SELECT DISTINCT a, a FROM u UNION
   SELECT u.b, min(reach.label) FROM reach JOIN u ON u.a = reach.id LEFT JOIN recurring.reach k ON k.id = u.b GROUP BY u.b, k.label HAVING min(reach.label) < k.label)"""
 
 
-@query(f"WITH RECURSIVE {G_EDGES}, {_COMPONENTS.format('citing % 3 = 0')} SELECT size, count(*) AS n FROM (SELECT label, count(*) AS size FROM reach GROUP BY label) GROUP BY size")
+@query(f"WITH RECURSIVE {G_EDGES}, {_COMPONENTS.format('true')} SELECT size, count(*) AS n FROM (SELECT label, count(*) AS size FROM reach GROUP BY label) GROUP BY size")
 def component_sizes(spark, d):
-    return S.component_sizes(graph_edges(spark, d).where("citing % 3 = 0"))
-
-
-@query(R.sql_without("component_sizes", " WHERE citing % 3 = 0"))
-def component_sizes_all(spark, d):
     return S.component_sizes(graph_edges(spark, d))
 
 
-@query(f"WITH RECURSIVE {G_EDGES}, {_COMPONENTS.format('weight > 1')} SELECT id, label FROM reach")
-def many_components(spark, d):
-    return components(graph_edges(spark, d).where("weight > 1"), "citing", "cited").select(F.col("node").alias("id"), "label")
+_REAL = "citing IN (SELECT id FROM g_nodes WHERE is_real) AND cited IN (SELECT id FROM g_nodes WHERE is_real)"
 
 
-@query(f"""WITH RECURSIVE {G_EDGES}, {_COMPONENTS.format('citing % 3 = 0')}
-SELECT id FROM reach WHERE label = (SELECT label FROM reach GROUP BY label ORDER BY count(*) DESC, label LIMIT 1)""")
-def giant_component(spark, d):
-    return E.giant(graph_edges(spark, d).where("citing % 3 = 0"))
+@query(f"""WITH RECURSIVE {G_EDGES}, {G_NODES}, {_COMPONENTS.format(_REAL)}, c AS (SELECT label, count(*) AS size FROM reach GROUP BY label
+  UNION ALL SELECT id, 1 FROM g_nodes WHERE is_real AND id NOT IN (SELECT id FROM reach)) SELECT size, count(*) AS n FROM c GROUP BY size""")
+def component_sizes_h(spark, d):
+    """The other report's domain: kept nodes only, isolated ones counted."""
+    e = graph_edges(spark, d).persist()
+    real = graph_nodes(spark, d, e).where("is_real").select("id")
+    found = S.component_sizes(cut(S.within(e, real)), real)
+    e.unpersist()
+    return found
 
 
-@query(R.sql_without("giant_component", " WHERE citing % 3 = 0"))
-def giant_component_all(spark, d):
+@query(f"WITH RECURSIVE {G_EDGES}, {_COMPONENTS.format('true')} SELECT id FROM reach WHERE label = (SELECT label FROM reach GROUP BY label ORDER BY count(*) DESC, label LIMIT 1)")
+def giant_component(spark, d):
     return E.giant(graph_edges(spark, d))
 
 
@@ -58,6 +56,13 @@ reach(id, label) USING KEY (id) AS (SELECT DISTINCT a, a FROM u UNION
 fold AS MATERIALIZED (SELECT id, first_value(id) OVER (PARTITION BY label ORDER BY n DESC, id) AS canonical FROM reach JOIN deg USING (id))"""
 
 
+@query(f"WITH RECURSIVE {_FOLD} SELECT id, label FROM reach")
+def many_components(spark, d):
+    """The groups of one and the same case: thousands of small components."""
+    marked = E.with_meta(graph_edges(spark, d).select("citing", "cited"), graph_meta(spark, d)).where(E.respects_time() & E.is_same_case())
+    return components(marked, "citing", "cited").select(F.col("node").alias("id"), "label")
+
+
 @query(f"WITH RECURSIVE {_FOLD} SELECT id, canonical FROM fold WHERE id <> canonical")
 def fold_same_case(spark, d):
     marked = E.with_meta(graph_edges(spark, d).select("citing", "cited"), graph_meta(spark, d)).where(E.respects_time())
@@ -124,16 +129,13 @@ def shortest_path_lex(spark, d):
     return P.shortest_paths(graph_edges(spark, d), pairs, 6)
 
 
-@query(f"""WITH RECURSIVE {G_EDGES}, prs AS MATERIALIZED (SELECT DISTINCT o_orderkey AS a, (o_orderkey * 7 + 13) % (SELECT count(*) FROM orders) AS b FROM orders WHERE o_orderkey % 1000 = 0),
-{_bfs("any", 4, "SELECT DISTINCT a AS id FROM prs")}, c AS (SELECT d AS length, count(*) AS n FROM prs LEFT JOIN dist ON source = a AND id = b WHERE a <> b GROUP BY d)
+@query(f"""WITH RECURSIVE {G_EDGES}, {_hops("any")}, prs AS MATERIALIZED (SELECT DISTINCT o_orderkey AS a, (o_orderkey * 7 + 13) % (SELECT count(*) FROM orders) AS b FROM orders WHERE o_orderkey % 1000 = 0),
+dist(source, id, d) USING KEY (source, id) AS (SELECT DISTINCT a, a, 0 FROM prs UNION
+  SELECT w.source, h.dst, min(w.d) + 1 FROM dist w JOIN h ON h.src = w.id LEFT JOIN recurring.dist k ON k.source = w.source AND k.id = h.dst GROUP BY w.source, h.dst, k.d HAVING k.d IS NULL OR min(w.d) + 1 < k.d),
+c AS (SELECT CAST(d AS INTEGER) AS length, count(*) AS n FROM prs LEFT JOIN dist ON source = a AND id = b WHERE a <> b GROUP BY d)
 SELECT length, n, round(n / sum(n) OVER (), 6) AS share, round(sum(n) OVER (ORDER BY length NULLS LAST) / sum(n) OVER (), 6) AS running FROM c""")
 def path_length_hist(spark, d):
-    return _path_lengths(spark, d, 4)
-
-
-@query()
-def path_length_hist_all(spark, d):
-    """Paths of any length; a recursive query has no way to stop where all pairs are settled, so there is no SQL."""
+    """Sampled pairs (one source in a thousand), paths of any length."""
     return _path_lengths(spark, d, None)
 
 
@@ -158,29 +160,18 @@ def pool_candidates(spark, d):
     return Z.starts_for(e, graph_nodes(spark, d, e), spark.createDataFrame([(40,)], "id long"), "back")
 
 
-@query(f"""WITH RECURSIVE {G_EDGES}, {G_NODES}, {_bfs("any", 5, "SELECT 200 AS id")}, c AS (SELECT DISTINCT dst AS id FROM h WHERE src = 10 AND dst NOT IN (10, 3))
+@query(f"""WITH RECURSIVE {G_EDGES}, {G_NODES}, {_bfs("any", 9, "SELECT 200 AS id")}, c AS (SELECT DISTINCT dst AS id FROM h WHERE src = 10 AND dst NOT IN (10, 3))
 SELECT c.id, c.id = 200 AS is_target, coalesce(dist.d = (SELECT d FROM dist WHERE id = 10) - 1, false) AS closer,
   row_number() OVER (ORDER BY cited_all DESC, c.id) <= 10 AS top10 FROM c JOIN g_nodes n ON n.id = c.id LEFT JOIN dist ON dist.id = c.id""")
 def opponent_candidates(spark, d):
-    e = graph_edges(spark, d).persist()
-    return Z.opponent_candidates(e, graph_nodes(spark, d, e), 10, 200, [3], depth=5)
-
-
-@query(R.sql_without("opponent_candidates", "WHERE d < 5", "WHERE d < 9"))
-def opponent_candidates_all(spark, d):
     e = graph_edges(spark, d).persist()
     return Z.opponent_candidates(e, graph_nodes(spark, d, e), 10, 200, [3])
 
 
 @query(f"""WITH {G_EDGES}, {G_NODES}, c AS (SELECT citing AS race, cited AS id, weight + cited % 5 AS score, cited_all FROM g_edges JOIN g_nodes ON id = cited),
 k AS (SELECT *, row_number() OVER (PARTITION BY race ORDER BY cited_all DESC, id) AS r FROM c)
-SELECT race, id, score FROM (SELECT *, row_number() OVER (PARTITION BY race ORDER BY score DESC, cited_all DESC, id) AS w FROM k WHERE r <= 3) WHERE w = 1""")
+SELECT race, id, score FROM (SELECT *, row_number() OVER (PARTITION BY race ORDER BY score DESC, cited_all DESC, id) AS w FROM k WHERE r <= 60) WHERE w = 1""")
 def race_step_argmax(spark, d):
-    return _race_steps(spark, d, 3)
-
-
-@query(R.sql_without("race_step_argmax", "r <= 3", "r <= 60"))
-def race_step_argmax_all(spark, d):
     return _race_steps(spark, d, 60)
 
 
@@ -211,18 +202,26 @@ def starters_oriented(spark, d):
     return Z.oriented(pairs, "back")
 
 
-@query(f"""WITH RECURSIVE {G_EDGES}, {G_NODES}, canon AS MATERIALIZED (SELECT id FROM g_nodes WHERE is_real AND id % 97 = 0 AND id < 1500), {_bfs("any", 3, "SELECT id FROM canon")}
-SELECT source AS a, dist.id AS b, d FROM dist JOIN canon ON canon.id = dist.id WHERE d BETWEEN 2 AND 3 AND source < dist.id""")
-def canon_pairs(spark, d):
-    return _canon_pairs(spark, d, "is_real and id % 97 = 0 and id < 1500")
+#: Stand-in for the curated cases: one of each nation.
+_CANON = "canon AS MATERIALIZED (SELECT n_nationkey * 40 AS id FROM nation SEMI JOIN g_nodes ON g_nodes.id = n_nationkey * 40 AND is_real)"
 
 
-@query(R.sql_without("canon_pairs", " AND id % 97 = 0 AND id < 1500"))
-def canon_pairs_all(spark, d):
-    return _canon_pairs(spark, d, "is_real")
+def _canon(spark, d, nodes):
+    ids = table(spark, d, "nation").select((F.col("n_nationkey") * 40).cast("long").alias("id"))
+    return nodes.where("is_real").join(F.broadcast(ids), "id", "left_semi").withColumn("has_text", F.lit(True))
 
 
-def _canon_pairs(spark, d, chosen):
+@query(f"""WITH RECURSIVE {G_EDGES}, {G_NODES}, {_CANON}, {_bfs("any", 3, "SELECT id FROM canon")}
+SELECT CAST(source AS BIGINT) AS a, dist.id AS b, d FROM dist JOIN canon ON canon.id = dist.id WHERE d BETWEEN 2 AND 3 AND source < dist.id""")
+def canon_pairs(spark, d):
     e = graph_edges(spark, d).persist()
-    canon = graph_nodes(spark, d, e).where(chosen).withColumn("has_text", F.lit(True)).persist()
+    canon = cut(_canon(spark, d, graph_nodes(spark, d, e)))
     return Z.usable_pairs(P.distances(e, canon, 3), canon)
+
+
+@query(f"""WITH RECURSIVE {G_EDGES}, {G_NODES}, {_CANON}, {_bfs("back", 5, "SELECT id FROM canon")}
+SELECT CAST(source AS BIGINT) AS a, dist.id AS b, d FROM dist JOIN canon ON canon.id = dist.id WHERE d BETWEEN 2 AND 5""")
+def canon_pairs_directed(spark, d):
+    e = graph_edges(spark, d).persist()
+    canon = cut(_canon(spark, d, graph_nodes(spark, d, e)))
+    return Z.usable_pairs(P.distances(e, canon, 5, "back"), canon, 5, directed=True)

@@ -201,38 +201,23 @@ def hub_removal_100(spark, d):
     return S.remove_hubs(graph_edges(spark, d).select("citing", "cited"), 100, "degree")
 
 
-@query(f"WITH {G_EDGES}, {G_NODES} SELECT g_edges.cited AS id, citing AS other, year FROM g_edges JOIN g_nodes ON id = citing WHERE cited % 100 = 0 ORDER BY 1, cited_all DESC, 2")
+@query(f"WITH {G_EDGES}, {G_NODES} SELECT g_edges.cited AS id, citing AS other, year FROM g_edges JOIN g_nodes ON id = citing ORDER BY 1, cited_all DESC, 2")
 def cited_by_sorted(spark, d):
-    return _cited_by(spark, d, "cited % 100 = 0")
-
-
-@query(R.sql_without("cited_by_sorted", " WHERE cited % 100 = 0"))
-def cited_by_sorted_all(spark, d):
-    return _cited_by(spark, d, "true")
-
-
-def _cited_by(spark, d, chosen):
     e = graph_edges(spark, d).persist()
-    n = graph_nodes(spark, d, e)
-    rows = e.where(chosen).join(n, F.col("citing") == n.id)
+    rows = e.join(graph_nodes(spark, d, e), F.col("citing") == F.col("id"))
     return rows.orderBy("cited", F.desc("cited_all"), "citing").select(F.col("cited").alias("id"), F.col("citing").alias("other"), "year")
 
 
-@query(f"WITH {G_EDGES}, {G_NODES} SELECT citing AS id, cited AS other, year FROM g_edges JOIN g_nodes ON id = cited WHERE citing % 100 = 0 ORDER BY 1, coalesce(year, 0), 2")
+@query(f"WITH {G_EDGES}, {G_NODES} SELECT citing AS id, cited AS other, year, date FROM g_edges JOIN g_nodes ON id = cited ORDER BY 1, coalesce(year, 0), date, 2")
 def cites_sorted(spark, d):
-    return _cites(spark, d, "citing % 100 = 0")
-
-
-@query(R.sql_without("cites_sorted", " WHERE citing % 100 = 0"))
-def cites_sorted_all(spark, d):
-    return _cites(spark, d, "true")
+    e = graph_edges(spark, d).persist()
+    rows = e.join(graph_nodes(spark, d, e), F.col("cited") == F.col("id"))
+    return rows.orderBy("citing", F.coalesce("year", F.lit(0)), "date", "cited").select(F.col("citing").alias("id"), F.col("cited").alias("other"), "year", "date")
 
 
-def _cites(spark, d, chosen):
-    e = graph_edges(spark, d).persist()
-    n = graph_nodes(spark, d, e)
-    rows = e.where(chosen).join(n, F.col("cited") == n.id)
-    return rows.orderBy("citing", F.coalesce("year", F.lit(0)), "cited").select(F.col("citing").alias("id"), F.col("cited").alias("other"), "year")
+@query(f"WITH {G_EDGES} SELECT citing, cited, weight FROM g_edges ORDER BY citing, cited")
+def edges_ordered(spark, d):
+    return E.ordered(graph_edges(spark, d))
 
 
 @query(f"WITH {G_EDGES} SELECT citing AS id, cited AS other FROM g_edges UNION SELECT cited, citing FROM g_edges")

@@ -19,15 +19,15 @@ def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def graph_nodes(spark: SparkSession, sf_dir: str, edges: DataFrame) -> DataFrame:
-    """(id, docket_id, year, cited_all, cited_scotus, outdeg, is_real)."""
+    """(id, docket_id, year, date, cited_all, cited_scotus, outdeg, is_real)."""
     lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.count(F.lit(1)).alias("n_lines"))
     indeg = edges.groupBy(F.col("cited").alias("id")).agg(F.count(F.lit(1)).alias("indeg"))
     outdeg = edges.groupBy(F.col("citing").alias("id")).agg(F.count(F.lit(1)).alias("outdeg"))
-    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("docket_id"), F.year("o_orderdate").alias("year"))
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("docket_id"), F.year("o_orderdate").alias("year"), F.substring(F.col("o_orderdate").cast("string"), 1, 10).alias("date"))
     rows = orders.join(lines, "id", "left").join(indeg, "id", "left").join(outdeg, "id", "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
     return rows.select(
-        "id", "docket_id", "year", zero("n_lines").alias("cited_all"), zero("indeg").alias("cited_scotus"), zero("outdeg").alias("outdeg"),
+        "id", "docket_id", "year", "date", zero("n_lines").alias("cited_all"), zero("indeg").alias("cited_scotus"), zero("outdeg").alias("outdeg"),
         (F.coalesce("n_lines", F.lit(0)) >= 3).alias("is_real"),
     )
 
@@ -47,7 +47,7 @@ G_EDGES = """g_edges AS MATERIALIZED (
       SELECT DISTINCT l_orderkey AS k, l_partkey AS p, o_orderdate AS dt FROM lineitem JOIN orders ON l_orderkey = o_orderkey))
   WHERE cited IS NOT NULL AND citing <> cited GROUP BY citing, cited)"""
 G_NODES = """g_nodes AS MATERIALIZED (
-  SELECT o_orderkey AS id, o_custkey AS docket_id, CAST(year(o_orderdate) AS INTEGER) AS year,
+  SELECT o_orderkey AS id, o_custkey AS docket_id, CAST(year(o_orderdate) AS INTEGER) AS year, substr(CAST(o_orderdate AS VARCHAR), 1, 10) AS date,
     CAST(coalesce(n_lines, 0) AS BIGINT) AS cited_all, CAST(coalesce(indeg, 0) AS BIGINT) AS cited_scotus,
     CAST(coalesce(outdeg, 0) AS BIGINT) AS outdeg, coalesce(n_lines, 0) >= 3 AS is_real
   FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n_lines FROM lineitem GROUP BY 1) l ON l_orderkey = o_orderkey

@@ -9,28 +9,22 @@ from casewright.functions import text as T
 from casewright.operators import resolve as V
 from casewright.plans.registry import Registry
 from casewright.plans.relational import _jaccard, _NAME, _overlap
+from casewright.plans.standins import G_EDGES, G_META, graph_edges, graph_meta
 from casewright.session import table
 
 R = Registry()
 query = R.query
 
 
-@query(f"""WITH n AS (SELECT p_size AS k, p_name, {_NAME("p_name")} AS t FROM (SELECT DISTINCT p_size, p_name FROM part WHERE p_size <= 5))
-SELECT a.k, a.p_name AS a, b.p_name AS b, round({_overlap("a.t", "b.t")}, 6) AS overlap, round({_jaccard("a.t", "b.t")}, 6) AS jaccard FROM n a JOIN n b ON a.k = b.k AND a.p_name < b.p_name""")
+@query(f"""WITH {G_EDGES}, {G_META}, m AS MATERIALIZED (SELECT id, {_NAME("name")} AS t FROM g_meta)
+SELECT citing, cited, round({_overlap("a.t", "b.t")}, 6) AS overlap, round({_jaccard("a.t", "b.t")}, 6) AS jaccard FROM g_edges JOIN m a ON a.id = citing JOIN m b ON b.id = cited""")
 def name_overlap_pairs(spark, d):
-    return _name_pairs(table(spark, d, "part").where("p_size <= 5"))
-
-
-@query(R.sql_without("name_overlap_pairs", " WHERE p_size <= 5"))
-def name_overlap_pairs_all(spark, d):
-    return _name_pairs(table(spark, d, "part"))
-
-
-def _name_pairs(part):
-    n = part.select(F.col("p_size").alias("k"), F.col("p_name").alias("a")).distinct()
-    rows = n.join(n.withColumnRenamed("a", "b"), "k").where("a < b")
-    a, b = T.name_tokens(F.col("a")), T.name_tokens(F.col("b"))
-    return rows.select("k", "a", "b", F.round(T.overlap(a, b), 6).alias("overlap"), F.round(T.jaccard(a, b), 6).alias("jaccard"))
+    """How alike the names at both ends of each cite are."""
+    m = graph_meta(spark, d).select("id", T.name_tokens(F.col("name")).alias("t"))
+    a, b = (m.select(F.col("id").alias(end), F.col("t").alias(f"{end}_t")) for end in ("citing", "cited"))
+    rows = graph_edges(spark, d).select("citing", "cited").join(a, "citing").join(b, "cited")
+    x, y = F.col("citing_t"), F.col("cited_t")
+    return rows.select("citing", "cited", F.round(T.overlap(x, y), 6).alias("overlap"), F.round(T.jaccard(x, y), 6).alias("jaccard"))
 
 
 _CITE_TEXT = """CASE l_linenumber % 4 WHEN 0 THEN l_suppkey || ' U. S. ' || l_partkey WHEN 1 THEN l_suppkey || '  Cranch, Rep.  ' || l_partkey || 'n'
@@ -53,17 +47,12 @@ def cite_parse(spark, d):
 
 
 _RANGES = """rg AS MATERIALIZED (SELECT p_size AS volume, 'us' AS reporter, p_partkey AS id, p_partkey % 90 + 1 AS first, p_partkey % 90 + 1 + p_partkey % 3 AS last FROM part),
-ct AS MATERIALIZED (SELECT row_number() OVER (ORDER BY l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice) AS ref, l_partkey % 50 + 1 AS v, l_suppkey % 95 + 1 AS page FROM lineitem WHERE l_orderkey % 10 = 0)"""
+ct AS MATERIALIZED (SELECT row_number() OVER (ORDER BY l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice) AS ref, l_partkey % 50 + 1 AS v, l_suppkey % 95 + 1 AS page FROM lineitem)"""
 
 
 @query(f"""WITH {_RANGES} SELECT v || ' U. S. ' || page AS cite, min(id) AS id FROM (SELECT DISTINCT v, page FROM ct) c JOIN rg ON rg.volume = v AND page BETWEEN first AND last
 GROUP BY v, page HAVING count(DISTINCT id) = 1""")
 def page_range_join(spark, d):
-    return _paged(spark, d, table(spark, d, "lineitem").where("l_orderkey % 10 = 0"))
-
-
-@query(R.sql_without("page_range_join", " WHERE l_orderkey % 10 = 0"))
-def page_range_join_all(spark, d):
     return _paged(spark, d, table(spark, d, "lineitem"))
 
 
@@ -200,21 +189,14 @@ def clip_text(spark, d):
     return table(spark, d, "documents").select("doc_id", T.clip(F.col("text"), 80).alias("card"))
 
 
-@query(f"""WITH i AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[a-z]{{5,}}')) AS b FROM benchmark WHERE item_id < 5), w AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z]{{5,}}')) AS a FROM documents)
-SELECT doc_id, item_id, round(4 * {_jaccard("a", "b")}, 4) AS score FROM w, i""")
+@query(f"""WITH i AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[a-z]{{5,}}')) AS b FROM benchmark), w AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z]{{5,}}')) AS a FROM documents)
+SELECT doc_id, item_id, round(4 * {_jaccard("a", "b")}, 4) AS score FROM w JOIN i ON item_id = doc_id % (SELECT count(*) FROM benchmark)""")
 def word_jaccard_judge(spark, d):
-    return _judged(spark, d, table(spark, d, "benchmark").where("item_id < 5"))
-
-
-@query(R.sql_without("word_jaccard_judge", " WHERE item_id < 5"))
-def word_jaccard_judge_all(spark, d):
-    return _judged(spark, d, table(spark, d, "benchmark"))
-
-
-def _judged(spark, d, items):
-    items = items.select("item_id", T.long_words(F.col("text")).alias("b"))
-    docs = table(spark, d, "documents").select("doc_id", T.long_words(F.col("text")).alias("a"))
-    return docs.join(F.broadcast(items)).select("doc_id", "item_id", F.round(T.jaccard(F.col("a"), F.col("b")) * 4, 4).alias("score"))
+    """Each document judged against its target item."""
+    items = table(spark, d, "benchmark").select("item_id", T.long_words(F.col("text")).alias("b"))
+    n = table(spark, d, "benchmark").agg(F.count(F.lit(1)).alias("n"))
+    docs = table(spark, d, "documents").join(F.broadcast(n)).select("doc_id", (F.col("doc_id") % F.col("n")).alias("item_id"), T.long_words(F.col("text")).alias("a"))
+    return docs.join(items, "item_id").select("doc_id", "item_id", F.round(T.jaccard(F.col("a"), F.col("b")) * 4, 4).alias("score"))
 
 
 @query("""WITH RECURSIVE k AS (SELECT n_nationkey AS id, n_nationkey || ':back' AS s FROM nation), f(id, s, i, h) AS (SELECT id, s, 1, CAST(2166136261 AS BIGINT) FROM k
@@ -240,35 +222,30 @@ def merge_duplicates(spark, d):
 
 
 @query("""WITH n AS (SELECT p_partkey AS id, p_name AS name, p_size || ' U.S. ' || p_partkey % 40 AS cite, p_size > 25 AS is_real, p_partkey % 17 AS cited_all FROM part),
-c AS (SELECT p_partkey AS k, p_size || ' U.S. ' || (p_partkey * 3) % 60 AS cite, p_name AS name FROM part WHERE p_partkey % 20 = 0),
+c AS (SELECT p_partkey AS k, p_size || ' U.S. ' || (p_partkey * 3) % 60 AS cite, p_name AS name FROM part),
 x AS (SELECT DISTINCT cite, name, list_distinct(string_split(lower(name), ' ')) AS w FROM c),
 e AS (SELECT x.cite, x.name, arg_max(id, (len(list_intersect(w, list_distinct(string_split(lower(n.name), ' ')))), is_real, cited_all, -id)) AS node FROM x JOIN n ON n.cite = x.cite GROUP BY ALL),
 v AS (SELECT x.cite, x.name, min(id) AS near FROM x JOIN n ON split_part(n.cite, ' U.S.', 1) = split_part(x.cite, ' U.S.', 1) WHERE len(list_intersect(w, list_distinct(string_split(lower(n.name), ' ')))) > 0 GROUP BY ALL)
 SELECT x.cite, x.name, coalesce(node, near) AS node FROM x LEFT JOIN e USING (cite, name) LEFT JOIN v USING (cite, name) WHERE coalesce(node, near) IS NOT NULL""")
 def canon_resolve(spark, d):
-    return _canon_resolved(spark, d, "p_partkey % 20 = 0")
+    return _canon_resolved(spark, d)
 
 
-@query(R.sql_without("canon_resolve", " WHERE p_partkey % 20 = 0"))
-def canon_resolve_all(spark, d):
-    return _canon_resolved(spark, d, "true")
-
-
-def _canon_resolved(spark, d, chosen):
+def _canon_resolved(spark, d):
     part = table(spark, d, "part")
     cite = lambda page: F.concat(F.col("p_size"), F.lit(" U.S. "), page)
     nodes = part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), cite(F.col("p_partkey") % 40).alias("cite"), (F.col("p_size") > 25).alias("is_real"), (F.col("p_partkey") % 17).alias("cited_all"))
-    canon = part.where(chosen).select(cite(F.col("p_partkey") * 3 % 60).alias("cite"), F.col("p_name").alias("name")).distinct()
+    canon = part.select(cite(F.col("p_partkey") * 3 % 60).alias("cite"), F.col("p_name").alias("name")).distinct()
     return V.canon_nodes(canon, nodes)
 
 
-@query("""WITH n AS (SELECT p_partkey AS id, p_name AS name, p_size AS cites, [p_partkey, p_partkey % 7] AS opinions, p_partkey - p_partkey % 3 AS canonical FROM part WHERE p_partkey >= 3),
+@query("""WITH n AS (SELECT p_partkey AS id, p_name AS name, p_size AS cites, [p_partkey, p_partkey % 7] AS opinions, p_partkey - p_partkey % 3 AS canonical FROM part),
 f AS (SELECT canonical, CAST(sum(cites) AS BIGINT) AS cites, list_sort(list_distinct(flatten(list(opinions)))) AS opinions, coalesce(list_sort(list(id) FILTER (id <> canonical)), []) AS merged_ids FROM n GROUP BY 1)
 SELECT id, name, f.cites, f.opinions, f.merged_ids FROM n JOIN f ON f.canonical = n.id""")
 def merged_nodes(spark, d):
     from casewright.operators.edges import merge_nodes
 
-    part = table(spark, d, "part").where("p_partkey >= 3")
+    part = table(spark, d, "part")
     nodes = part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_size").alias("cites"), F.array(F.col("p_partkey"), F.col("p_partkey") % 7).alias("opinions"))
     fold = part.where("p_partkey % 3 <> 0").select(F.col("p_partkey").alias("id"), (F.col("p_partkey") - F.col("p_partkey") % 3).alias("canonical"))
     return merge_nodes(nodes, fold, ["cites"], ["opinions"])

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from casewright.plans import graphs, relational, texts
+from casewright.plans import graphs, relational, reports, texts
 
-_PLANS = (relational, graphs, texts)
+_PLANS = (relational, graphs, texts, reports)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

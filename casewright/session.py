@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,6 +35,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(named)
         return named
     if sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="casewright-checkpoints-"))
     return sc.getCheckpointDir()
 
@@ -44,6 +47,29 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+class Scratch:
+    """Tables of one computation, written under the checkpoint folder and removed at its end.
+
+    A checkpoint keeps the size that its plan was estimated at.  Joins multiply estimates, so in a loop of joins these
+    numbers soon have millions of digits and planning takes minutes; a written table has the size of its files.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.path, self.n = spark, f"{ensure_checkpoint_dir(spark)}/scratch-{uuid.uuid4().hex}", 0
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        place, self.n = f"{self.path}/{self.n}", self.n + 1
+        df.write.parquet(place)
+        return self.spark.read.schema(df.schema).parquet(place)
+
+    def __exit__(self, *_) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table, by a path that only Spark needs to be able to read."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

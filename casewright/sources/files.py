@@ -3,20 +3,20 @@
 from __future__ import annotations
 
 import io
-import json
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-CASE = (
-    "id bigint, name string, name_abbreviation string, decision_date string, docket_number string, first_page string, last_page string, "
-    "file_name string, citations array<struct<type:string,cite:string>>, court struct<id:bigint,name:string,name_abbreviation:string>, "
-    "analysis struct<word_count:int,pagerank:struct<raw:double,percentile:double>>, "
-    "cites_to array<struct<cite:string,category:string,reporter:string,case_ids:array<bigint>,weight:int,year:int,opinion_index:int>>"
+_FIELDS = (
+    "id:bigint,name:string,name_abbreviation:string,decision_date:string,docket_number:string,first_page:string,last_page:string,"
+    "file_name:string,citations:array<struct<type:string,cite:string>>,court:struct<id:bigint,name:string,name_abbreviation:string>,"
+    "analysis:struct<word_count:int,pagerank:struct<raw:double,percentile:double>>,"
+    "cites_to:array<struct<cite:string,category:string,reporter:string,case_ids:array<bigint>,weight:int,year:int,opinion_index:int>>"
 )
 
 
@@ -49,45 +49,95 @@ def last_of_each(rows: DataFrame, key: str, ordinal: str, first: bool = False) -
     return rows.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy(order))).where("__n = 1").drop("__n")
 
 
-def read_volumes(spark: SparkSession, path: str) -> DataFrame:
-    """Cases of zip volumes ``<reporter>/<volume>.zip``: reporter, volume, and the case's fields; broken zips are skipped.
+def latest(spark: SparkSession, pattern: str) -> str:
+    """The lexically last path that a glob matches (dated dumps), on any file system that Spark reads."""
+    names = spark.read.format("binaryFile").load(pattern).select("path")
+    found = names.agg(F.max("path").alias("path")).first().path
+    if found is None:
+        raise FileNotFoundError(pattern)
+    return found
+
+
+def read_document(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A small JSON document (one value or an array of rows); an empty table where there is none."""
+    try:
+        return spark.read.schema(schema).json(path, multiLine=True)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
 
-    One task reads a volume at a time; only metadata leaves the zip.
+
+def _volumes(spark: SparkSession, path: str, member: str, keep: Callable[[str], bool]) -> DataFrame:
+    """(path, name, content, problem): the members of zip volumes that ``keep`` accepts, or what is wrong with a volume.
+
+    ``member``: one that each volume must hold, or empty.  One task reads one volume at a time.
     """
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for name, content in zip(b.path, b.content, strict=True):
+            for place, content in zip(b.path, b.content, strict=True):
                 try:
                     with zipfile.ZipFile(io.BytesIO(content)) as z:
-                        cases = json.loads(z.read("metadata/CasesMetadata.json"))
-                except (zipfile.BadZipFile, KeyError, ValueError):
-                    continue
-                yield pd.DataFrame({"path": name, "case": [json.dumps(c) for c in cases]})
+                        names = z.namelist()
+                        if member and member not in names:
+                            raise KeyError(f"no {member}")
+                        for name in filter(keep, names):
+                            yield pd.DataFrame({"path": [place], "name": [name], "content": [z.read(name).decode("utf-8", "replace")], "problem": [None]})
+                except (zipfile.BadZipFile, KeyError) as e:
+                    yield pd.DataFrame({"path": [place], "name": [None], "content": [None], "problem": [f"{type(e).__name__}: {e}"]})
 
     files = spark.read.format("binaryFile").load(path).select("path", "content")
-    rows = files.mapInPandas(task, "path string, case string")
-    part = lambda i: F.regexp_extract("path", r"([^/]+)/(\d+)\.zip$", i)
-    return rows.select(part(1).alias("reporter"), part(2).try_cast("int").alias("volume"), F.from_json("case", CASE).alias("c")).select("reporter", "volume", "c.*")
+    return files.mapInPandas(task, "path string, name string, content string, problem string")
 
 
-def read_opinions(spark: SparkSession, path: str) -> DataFrame:
-    """Opinion pages of zip volumes: reporter, volume, member and html."""
+_PART = r"([^/]+)/(\d+)\.zip$"
+_METADATA = "metadata/CasesMetadata.json"
 
-    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for name, content in zip(b.path, b.content, strict=True):
-                try:
-                    with zipfile.ZipFile(io.BytesIO(content)) as z:
-                        for m in z.namelist():
-                            if m.startswith("html/") and m.endswith(".html"):
-                                yield pd.DataFrame({"path": [name], "member": [m], "html": [z.read(m).decode("utf-8", "replace")]})
-                except zipfile.BadZipFile:
-                    continue
 
-    rows = spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(task, "path string, member string, html string")
-    part = lambda i: F.regexp_extract("path", r"([^/]+)/(\d+)\.zip$", i)
-    return rows.select(part(1).alias("reporter"), part(2).try_cast("int").alias("volume"), "member", "html")
+def read_volumes(spark: SparkSession, path: str) -> DataFrame:
+    """Cases of zip volumes ``<reporter>/<volume>.zip``: reporter, volume, and the case's fields.
+
+    Broken volumes have no rows here; :func:`broken_volumes` names them.  A volume whose metadata are no JSON fails.
+    """
+    rows = _volumes(spark, path, _METADATA, lambda name: name == _METADATA).where("problem is null")
+    cases = F.explode(F.from_json("content", f"array<struct<{_FIELDS}>>", {"mode": "FAILFAST"})).alias("c")
+    part = lambda i: F.regexp_extract("path", _PART, i)
+    return rows.select(part(1).alias("reporter"), part(2).try_cast("int").alias("volume"), cases).select("reporter", "volume", "c.*")
+
+
+def broken_volumes(spark: SparkSession, path: str) -> DataFrame:
+    """(path, problem) of the volumes that can't be read; a caller warns and counts them."""
+    return _volumes(spark, path, _METADATA, lambda name: False).where("problem is not null").select("path", "problem")
+
+
+def read_opinions(spark: SparkSession, path: str, keys: DataFrame | None = None) -> DataFrame:
+    """Opinion pages of zip volumes: reporter, volume, member, html and cites_to (of the page's sidecar; null without).
+
+    ``keys`` (reporter, volume, member) limits the pages.
+    """
+    raw = _volumes(spark, path, "", lambda name: name.startswith(("html/", "cases/"))).where("problem is null")
+    part = lambda i: F.regexp_extract("path", _PART, i)
+    rows = raw.select(part(1).alias("reporter"), part(2).try_cast("int").alias("volume"), F.col("name").alias("member"), "content", F.regexp_extract("name", r"([^/]+)\.\w+$", 1).alias("stem"))
+    html = rows.where("member like 'html/%.html'").withColumnRenamed("content", "html")
+    if keys is not None:
+        html = html.join(keys.select("reporter", "volume", "member").distinct(), ["reporter", "volume", "member"], "left_semi")
+    cites = F.from_json("content", f"struct<{_FIELDS}>").getField("cites_to").alias("cites_to")
+    side = rows.where("member like 'cases/%.json'").select("reporter", "volume", "stem", cites)
+    return html.join(side, ["reporter", "volume", "stem"], "left").select("reporter", "volume", "member", "html", "cites_to")
+
+
+def court_counts(volumes: DataFrame, court: str = "U.S.") -> DataFrame:
+    """(reporter, volume, cases, of_court): how many of a volume's cases are the court's."""
+    own = F.coalesce(F.col("court.name_abbreviation") == court, F.lit(False))
+    return volumes.groupBy("reporter", "volume").agg(F.count(F.lit(1)).alias("cases"), F.count_if(own).alias("of_court"))
+
+
+def selected(cases: DataFrame, us_only: bool = False, orders: bool = True) -> DataFrame:
+    """Cases of one reporter alone, with or without short orders."""
+    if us_only:
+        cases = cases.where("reporter = 'us'")
+    return cases if orders else cases.where("not is_order_like")
 
 
 def case_table(volumes: DataFrame, court: str = "U.S.") -> DataFrame:
@@ -102,10 +152,19 @@ def case_table(volumes: DataFrame, court: str = "U.S.") -> DataFrame:
     )
 
 
+#: Arrays of a columnar graph document, with the column that each makes.
+ARRAYS = {
+    "ids": ("id", "bigint"), "names": ("name", "string"), "cites": ("cite", "string"), "years": ("year", "int"), "dates": ("date", "string"), "cited_all": ("cited_all", "bigint"),
+    "cited_scotus": ("cited_scotus", "bigint"), "has_text": ("has_text", "boolean"), "real": ("is_real", "boolean"), "cap_ids": ("cap_ids", "array<bigint>"),
+}
+
+
 def read_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Nodes (id, name, year) and edges (citing, cited) of a columnar graph document."""
-    doc = spark.read.schema("ids array<bigint>, names array<string>, years array<int>, edges array<int>").json(path, multiLine=True)
-    nodes = doc.select(F.explode(F.arrays_zip("ids", "names", "years")).alias("z")).select(F.col("z.ids").alias("id"), F.col("z.names").alias("name"), F.col("z.years").alias("year"))
+    """Nodes (a column for each known array; null where the document has none) and edges (citing, cited)."""
+    schema = ", ".join(f"{name} array<{kind}>" for name, (_, kind) in ARRAYS.items())
+    doc = spark.read.schema(f"{schema}, edges array<int>").json(path, multiLine=True)
+    present = doc.select(*[F.coalesce(F.col(name), F.transform("ids", lambda _, k=kind: F.lit(None).cast(k))).alias(name) for name, (_, kind) in ARRAYS.items()])
+    nodes = present.select(F.explode(F.arrays_zip(*ARRAYS)).alias("z")).select(*[F.col(f"z.{name}").alias(column) for name, (column, _) in ARRAYS.items()])
     pairs = F.transform(F.sequence(F.lit(0), F.floor(F.size("edges") / 2).cast("int") - 1), lambda i: F.struct(F.element_at("ids", F.element_at("edges", 2 * i + 1) + 1).alias("citing"), F.element_at("ids", F.element_at("edges", 2 * i + 2) + 1).alias("cited")))
     edges = doc.where(F.size("edges") > 0).select(F.explode(pairs).alias("e")).select("e.*")
     return nodes, edges

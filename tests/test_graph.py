@@ -3,7 +3,6 @@
 import random
 
 import pytest
-
 from pyspark.sql import functions as F
 
 from casewright.operators import edges as E
@@ -59,9 +58,9 @@ def shapes():
 
 @pytest.mark.parametrize("shape", list(shapes()))
 def test_components_equal_union_find_in_few_rounds(spark, monkeypatch, shape):
-    pairs, parent, cuts = shapes()[shape], {}, []
-    cut = components_module.cut
-    monkeypatch.setattr(components_module, "cut", lambda df: cuts.append(1) or cut(df))
+    pairs, parent, kept = shapes()[shape], {}, []
+    keep = components_module.Scratch.keep
+    monkeypatch.setattr(components_module.Scratch, "keep", lambda self, df: kept.append(1) or keep(self, df))
 
     def find(x):
         while parent.setdefault(x, x) != x:
@@ -74,7 +73,7 @@ def test_components_equal_union_find_in_few_rounds(spark, monkeypatch, shape):
             parent[high] = low
     found = {r.node: r.label for r in components(graph(spark, pairs), "citing", "cited").collect()}
     assert found == {x: find(x) for x in parent}
-    assert len(cuts) <= 3 + 2 * 19  # two tables a round, three besides
+    assert len(kept) <= 1 + 3 * 19  # three tables a round, one besides
 
 
 def test_fold_keeps_best_connected_then_lowest(spark):
