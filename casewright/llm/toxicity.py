@@ -1,14 +1,14 @@
 """Toxicity scores: Levenshtein automata intersected with a lexicon trie, and context windows around each hit.
 
 A lexicon of whole terms and of productive stems is learned from labelled rows.  Its trie is intersected with the
-Levenshtein automata of its terms into one deterministic automaton, which runs over all words of a batch at once:
-a word ends in a state that tells the nearest term and its distance, so misspelled terms are met without looking
-up any variant.  Around each hit a context window is read: quotation marks and reporting words near it speak for
+Levenshtein automata of its terms into one deterministic automaton, made as words meet it, which runs over all words of
+a batch at once: a word ends in a state that tells the nearest term and its distance, so misspelled terms are met
+without looking up any variant.  Around each hit a context window is read: quotation marks and reporting words near it speak for
 quotation, address in the second person for abuse.  A misspelling counts nearly as its term unless clean rows hold it
 too.  A ridge logistic over the hits' summed evidence gives the score.
 
-Learned from labelled rows outside the held-out remainder alone, about ``learning.MAX_LABELLED`` at most; the
-lexicon holds ``MAX_TERMS`` terms at most.  Whole texts are scored.
+Learned from labelled rows outside the held-out remainder alone, about ``learning.MAX_LABELLED`` at most; that bounds
+the lexicon too, which holds every term that its evidence admits.  Whole texts are scored.
 
 Defined results: a null text scores as the empty text; repeated rows score alike; without labelled rows of both
 classes every score is the share of toxic labels (0 without any); other columns are ignored.
@@ -20,6 +20,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -30,8 +31,8 @@ from casewright.llm.learning import fit_logistic, remainder, sigmoid, training_r
 
 MODULUS, HELD = 4, 2
 THRESHOLD = 0.3
-MAX_TERMS = 400
-MAX_CANDIDATES = 50_000
+#: Size at which an automaton's table of transitions is begun anew.
+TABLE_BYTES = 64 << 20
 #: A word is a run of letters and digits, with these between them; anything else ends it.
 INNER = "@$*!_'’"
 WORD = re.compile(rf"[^\W_](?:[^\W_]|[{re.escape(INNER)}](?=[^\W_]))*")
@@ -48,112 +49,140 @@ def edits_for(term: str, most: int = 2) -> int:
     return min(most, 0 if len(term) < 4 else 1 if len(term) < 8 else 2)
 
 
+@cache
+def _letters() -> np.ndarray:
+    """Which code points are letters or digits."""
+    return np.array([chr(c).isalnum() for c in range(0x110000)])
+
+
 class LexiconAutomaton:
-    """The trie of terms and stems, intersected with the Levenshtein automata of the terms, made deterministic.
+    """The trie of terms and stems, intersected with the Levenshtein automata of the terms.
 
-    States are sets of (trie node, edits so far); ``table[state, class]`` is the next state, where a class is a
-    letter of the lexicon or 1 for any other.  State 0 has no way on.  ``accepts[state]`` is -1 or index * 3 +
-    distance of the nearest term that a word ending here is; a stem is met by any word that begins with it.
+    States are sets of (trie node, edits so far).  They and their transitions are made as words meet them and kept in a
+    table (state, class of letter), so the cost follows the words that occur, not the size of the product; a table of
+    more than ``TABLE_BYTES`` is begun anew before the next text.  A class is a letter of the lexicon, or 1 for any
+    other.  State 0 has no way on.  ``accepts[state]`` is -1 or index * 3 + distance of the nearest term that a word
+    ending here is; a stem is met by any word that begins with it.
     """
 
     def __init__(self, terms: Iterable[str], stems: Iterable[str], edits=edits_for):
         self.terms, self.stems = list(terms), list(stems)
         self.names = self.terms + self.stems
-        children: list[dict[str, int]] = [{}]
-        ends: list[int] = [-1]
-        reach = [0]  # edits allowed to the terms below a node
-        loops: set[int] = set()
+        self.allowed = [edits(t) for t in self.terms] + [0] * len(self.stems)
+        self.children: list[dict[str, int]] = [{}]
+        self.ends: list[int] = [-1]
+        self.reach = [0]  # edits allowed to the terms below a node
+        self.loops: set[int] = set()
         for i, name in enumerate(self.names):
             at, stem = 0, i >= len(self.terms)
-            allowed = 0 if stem else edits(name)
             for c in name + ("\0" if stem else ""):  # a stem's end is a node of its own
-                reach[at] = max(reach[at], allowed)
-                if c not in children[at]:
-                    children[at][c] = len(children)
-                    children.append({})
-                    ends.append(-1)
-                    reach.append(0)
-                at = children[at][c]
-            reach[at] = max(reach[at], allowed)
-            ends[at] = i
+                self.reach[at] = max(self.reach[at], self.allowed[i])
+                if c not in self.children[at]:
+                    self.children[at][c] = len(self.children)
+                    self.children.append({})
+                    self.ends.append(-1)
+                    self.reach.append(0)
+                at = self.children[at][c]
+            self.reach[at] = max(self.reach[at], self.allowed[i])
+            self.ends[at] = i
             if stem:
-                loops.add(at)
+                self.loops.add(at)
         self.letters = {c: k + 2 for k, c in enumerate(sorted({c for x in self.names for c in x}))}
-        order = [None, None, *self.letters]
-
-        def closed(pairs: Iterable[tuple[int, int]]) -> frozenset:
-            seen: dict[int, int] = {}
-            todo = list(pairs)
-            while todo:
-                node, e = todo.pop()
-                if seen.get(node, 99) <= e or (e > reach[node] and node not in loops):
-                    continue
-                seen[node] = e
-                for c, child in children[node].items():
-                    if c == "\0":
-                        todo += [(child, 0)] * (e == 0)
-                    else:
-                        todo.append((child, e + 1))  # a letter of the term is missing
-            return frozenset(seen.items())
-
-        def onward(state: frozenset, c: str | None) -> frozenset:
-            out = []
-            for node, e in state:
-                if node in loops:
-                    out.append((node, e))
-                    continue
+        self.order = [None, None, *self.letters]
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if not k.startswith("_")}  # each process makes its own states
+
+    # --- states, made when they are met
+
+    def _begin(self) -> None:
+        first = self._closed([(0, 0)])
+        self._states, self._index = [frozenset(), first], {frozenset(): 0, first: 1}
+        self._table = np.full((1024, len(self.order)), -1, np.int32)
+        self._table[0], self._table[:, 0] = 0, 0
+        self._accepts = np.full(1024, -1, np.int32)
+        self._accepts[1] = self._accept(first)
+
+    def _closed(self, pairs: Iterable[tuple[int, int]]) -> frozenset:
+        seen: dict[int, int] = {}
+        todo = list(pairs)
+        while todo:
+            node, e = todo.pop()
+            if seen.get(node, 99) <= e or (e > self.reach[node] and node not in self.loops):
+                continue
+            seen[node] = e
+            for c, child in self.children[node].items():
+                if c == "\0":
+                    todo += [(child, 0)] * (e == 0)
+                else:
+                    todo.append((child, e + 1))  # a letter of the term is missing
+        return frozenset(seen.items())
+
+    def _onward(self, state: frozenset, c: str | None) -> frozenset:
+        out = []
+        for node, e in state:
+            if node in self.loops:
+                out.append((node, e))
+                continue
+            spent = e >= self.reach[node]  # nothing below allows another edit
+            if not spent:
                 out.append((node, e + 1))  # a letter too many
-                for letter, child in children[node].items():
-                    if letter != "\0":
-                        out.append((child, e + (letter != c)))
-            return closed(out)
-
-        first = closed([(0, 0)])
-        index = {frozenset(): 0, first: 1}
-        states, rows = [frozenset(), first], [[0] * len(order)]
-        k = 1
-        while k < len(states):
-            row = [0] * len(order)
-            for j in range(1, len(order)):
-                to = onward(states[k], order[j])
-                if to not in index:
-                    index[to] = len(states)
-                    states.append(to)
-                row[j] = index[to]
-            rows.append(row)
-            k += 1
-        self.table = np.array(rows, np.int32)
-        self.accepts = np.full(len(states), -1, np.int32)
-        for s, state in enumerate(states):
-            hits = [(e, ends[node]) for node, e in state if ends[node] >= 0 and (node in loops or e <= edits(self.names[ends[node]]))]
-            if hits:
-                e, i = min(hits)
-                self.accepts[s] = i * 3 + e
-        self.classes = np.zeros(0x110000, np.uint8)
-        known = np.frombuffer("".join(self.letters).encode("utf-32-le"), np.uint32)
-        for c in range(0x3000):
-            if chr(c).isalnum():
-                self.classes[c] = 1
-        self.classes[0x3000:] = 1
-        self.inner = np.frombuffer(INNER.encode("utf-32-le"), np.uint32)
-        self.classes[known] = [self.letters[c] for c in self.letters]
+                out += [(child, e + (letter != c)) for letter, child in self.children[node].items() if letter != "\0"]
+            elif c in self.children[node]:
+                out.append((self.children[node][c], e))
+        return self._closed(out)
+
+    def _accept(self, state: frozenset) -> int:
+        hits = [(e, self.ends[node]) for node, e in state if self.ends[node] >= 0 and (node in self.loops or e <= self.allowed[self.ends[node]])]
+        if not hits:
+            return -1
+        e, i = min(hits)
+        return i * 3 + e
+
+    def _make(self, states: np.ndarray, classes: np.ndarray) -> None:
+        """Fills in the transitions (state, class) that are not known yet."""
+        width = len(self.order)
+        for key in np.unique(states.astype(np.int64) * width + classes).tolist():
+            k, j = divmod(key, width)
+            to = self._onward(self._states[k], self.order[j])
+            if to not in self._index:
+                self._index[to] = n = len(self._states)
+                self._states.append(to)
+                if n == len(self._table):
+                    self._table = np.vstack([self._table, np.full_like(self._table, -1)])
+                    self._table[n:, 0] = 0
+                    self._accepts = np.r_[self._accepts, np.full_like(self._accepts, -1)]
+                self._accepts[n] = self._accept(to)
+            self._table[k, j] = self._index[to]
+
+    def _classes(self) -> tuple[np.ndarray, np.ndarray]:
+        """The class of each code point, and of those that may stand between letters."""
+        if "_held" not in self.__dict__:
+            letters = _letters()
+            classes, inner = letters.astype(np.int32), np.zeros(0x110000, np.int32)
+            inner[[ord(c) for c in INNER]] = 1
+            for c, k in self.letters.items():
+                (classes if letters[ord(c)] else inner)[ord(c)] = k
+            self._held = classes, inner
+        return self._held
 
     def run(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(start, end, accept) of the words of ``text`` (lower-cased) that are a term, near one, or have a stem."""
         none = np.empty(0, np.int64)
         if not text or not self.names:
             return none, none, none
+        if "_table" not in self.__dict__ or self._table.nbytes > TABLE_BYTES:
+            self._begin()
+        classes, inner = self._classes()
         code = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
-        cls = self.classes[code]
+        cls = classes[code]
+        letter = cls > 0
+        marks = inner[code]
+        at = np.flatnonzero(marks)  # between letters such a mark stands for a letter
+        at = at[(at > 0) & (at < len(code) - 1)]
+        at = at[letter[at - 1] & letter[at + 1]]
+        cls[at] = marks[at]
         letter = cls > 0
-        inner = np.isin(code, self.inner) & ~letter
-        if inner.any():  # between letters such a mark stands for a letter
-            at = np.flatnonzero(inner)
-            at = at[(at > 0) & (at < len(code) - 1)]
-            at = at[letter[at - 1] & letter[at + 1]]
-            cls = cls.copy()
-            cls[at] = 1
-            letter = cls > 0
         cls = np.append(cls, 0)
         begin = np.flatnonzero(letter & ~np.r_[False, letter[:-1]])
         state = np.ones(len(begin), np.int32)
@@ -163,13 +192,18 @@ class LexiconAutomaton:
             c = cls[at]
             over = c == 0
             if over.any():
-                accept = self.accepts[state[over]]
+                accept = self._accepts[state[over]]
                 hit = accept >= 0
                 found.append((begin[word[over][hit]], at[over][hit], accept[hit]))
             go = ~over
-            state, at, word = self.table[state[go], c[go]], at[go] + 1, word[go]
-            go = state > 0
-            state, at, word = state[go], at[go], word[go]
+            state, c, at, word = state[go], c[go], at[go] + 1, word[go]
+            to = self._table[state, c]
+            new = to < 0
+            if new.any():
+                self._make(state[new], c[new])
+                to = self._table[state, c]
+            go = to > 0
+            state, at, word = to[go], at[go], word[go]
         if not found:
             return none, none, none
         start, end, accept = (np.concatenate(x) for x in zip(*found, strict=True))
@@ -267,7 +301,7 @@ def learn_lexicon(rows: DataFrame, base: float, toxic: int, support: int = 5) ->
     schema = "name string, stem boolean, n long"
     total = lambda df: df.groupBy("name", "stem").agg(F.sum("n").alias("n"))
     positive = total(rows.where("y = 1").mapInPandas(count(), schema)).where(F.col("n") >= support)
-    positive = positive.orderBy(F.desc("n"), "name", "stem").limit(MAX_CANDIDATES).toPandas()
+    positive = positive.toPandas()  # words that some of the labelled rows share: bounded by their number
     if not len(positive):
         return [], [], np.empty(0)
     wanted = rows.sparkSession.sparkContext.broadcast(
@@ -302,8 +336,8 @@ def choose(both: pd.DataFrame) -> tuple[list[str], list[str], np.ndarray]:
         if n >= 1.6 * heaviest.get(name, 0) and not any(name[:k] in kept for k in STEM_LENGTHS):
             kept[name] = evidence
     alone = words[[not any(w[:k] in kept for k in STEM_LENGTHS) for w in words.index]]
-    alone = alone.reset_index().sort_values(["n", "name"], ascending=[False, True]).head(MAX_TERMS // 2)
-    best = sorted(kept.items(), key=lambda x: (-x[1], x[0]))[: MAX_TERMS // 2]
+    alone = alone.reset_index().sort_values(["n", "name"], ascending=[False, True])
+    best = sorted(kept.items(), key=lambda x: (-x[1], x[0]))
     return alone.name.to_list(), [x for x, _ in best], np.array([*alone.evidence, *(e for _, e in best)])
 
 

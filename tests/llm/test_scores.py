@@ -69,6 +69,65 @@ def test_automaton_equals_edit_distance():
         assert (min(near)[::-1] if near else None) == (divmod(int(accept[0]), 3) if len(accept) else None), w
 
 
+def plain_score(model, text):
+    """The score by words, edit distances and windows, one by one."""
+    import math
+
+    text = (text or "").lower()
+    automaton, f = model.automaton, [0.0] * toxicity.FEATURES
+    n = len(automaton.terms)
+    for m in toxicity.WORD.finditer(text):
+        near = [(edit_distance(t, m[0]), i) for i, t in enumerate(automaton.terms) if edit_distance(t, m[0]) <= toxicity.edits_for(t)]
+        near += [(0, n + i) for i, s in enumerate(automaton.stems) if m[0].startswith(s)]
+        if not near:
+            continue
+        distance, name = min(near)
+        # a stem is met where it ends; the hit is the whole word
+        quoted, abusive = toxicity.quotation(text, m.start(), m.end())
+        weight = model.evidence[name, distance]
+        own = weight * (1 - 0.7 * quoted)
+        kind = 2 if name >= n else 0
+        f[kind] += own
+        f[kind + 1] = max(f[kind + 1], own)
+        f[4] += weight * quoted
+        f[5] += own * abusive
+    x = [math.log1p(f[0]), f[1], math.log1p(f[2]), f[3], math.log1p(f[4]), math.log1p(f[5]), math.log1p(len(text)) / 10]
+    return 1 / (1 + math.exp(-sum(a * b for a, b in zip(x, model.weights, strict=False)) - model.weights[-1]))
+
+
+def test_scores_equal_brute_force():
+    import random
+
+    rng = random.Random(4)
+    terms, stems = ["idiot", "sh*t", "worthless", "馬鹿"], ["moron", "scu"]
+    model = toxicity.ToxicityModel(LexiconAutomaton(terms, stems), np.array([[2.0, 1.5, 1.0]] * 6) * np.arange(1, 7)[:, None], 0.1, np.linspace(-1, 2, toxicity.FEATURES + 1))
+    words = ["idiot", "1diot", "you", "said", '"', "sh*t", "sh*", "*sh*t*", "morons", "scum", "w0rthles", "馬鹿", "馬鹿者", "and", "İdiot", "a_b", "don’t", "”", ",", "\n"]
+    texts = ["", None, *(rng.choice([" ", ""]).join(rng.choices(words, k=rng.randrange(1, 14))) for _ in range(300))]
+    assert np.allclose(model.score(texts), [plain_score(model, t) for t in texts])
+
+
+def test_large_lexicons_of_any_script_are_quick():
+    import random
+    import time
+
+    rng = random.Random(3)
+    begin = time.monotonic()
+    for letters in ("abcdefghijklmnopqrstuvwxyz", "".join(chr(0x4E00 + i) for i in range(400))):
+        terms = sorted({"".join(rng.choices(letters, k=rng.randrange(3, 10))) for _ in range(400)})
+        automaton = LexiconAutomaton(terms, [])
+        assert len(automaton.run(" ".join(terms))[0]) == len(terms)
+        assert automaton.run(" ".join(terms))[2].tolist() == [i * 3 for i in range(len(terms))]
+    assert time.monotonic() - begin < 20
+
+
+def test_a_full_table_is_begun_anew(monkeypatch):
+    automaton = LexiconAutomaton(["worthless"], [])
+    want = [x.tolist() for x in automaton.run("worthless w0rthless worth")]
+    monkeypatch.setattr(toxicity, "TABLE_BYTES", 0)
+    for _ in range(3):
+        assert [x.tolist() for x in automaton.run("worthless w0rthless worth")] == want
+
+
 def test_automaton_finds_words_in_place():
     text = "an id1ot, a w0rthless!! $cum (st-upid) thing"
     start, end, accept = LexiconAutomaton(["idiot", "worthless", "stupid"], []).run(text)
