@@ -178,6 +178,45 @@ def test_shards_are_even_and_gapless(spark, data):
     assert max(size.values()) <= max(1.05 * mean, max(r.size for r in got)) and min(size.values()) >= 0.9 * mean
 
 
+def test_pack_equals_plain_placement():
+    """Of every item in turn: the shard whose residual has the largest dot product, by plain sums."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for first in (0, 2):
+        items = rng.integers(1, 40, (60, 3)) / 2000
+        left = [[1 / 5] * 3 for _ in range(5)]
+        want = {}
+        for i in sorted(range(60), key=lambda i: (-max(items[i]), i)):
+            turn = [(k + first) % 5 for k in range(5)]
+            gain = [sum(x * y for x, y in zip(left[s], items[i], strict=True)) for s in turn]
+            s = turn[max(range(5), key=lambda k: (round(gain[k], 12), -k))]
+            left[s] = [x - y for x, y in zip(left[s], items[i], strict=True)]
+            want[i] = s
+        residual = np.full((5, 3), 1 / 5)
+        assert sharding.pack(items, 5, residual, first).tolist() == [want[i] for i in range(60)]
+        assert np.allclose(residual, left)
+
+
+def test_light_groups_are_placed_in_tasks(spark, monkeypatch):
+    """No heavy groups, many tasks: shards stay even in bytes, tokens and rows, and copies stay together."""
+    monkeypatch.setattr(sharding, "HEAVY", 8)
+    monkeypatch.setattr(sharding, "PER_TASK", 300)
+    rng = random.Random(5)
+    rows = [(i, " ".join(f"w{rng.randrange(999)}" for _ in range(rng.randrange(1, 60)))) for i in range(4000)]
+    rows += [(10_000 + i, rows[i][1]) for i in range(500)]
+    got = sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    texts, where = dict(rows), defaultdict(set)
+    for r in got:
+        where[texts[r.doc_id]].add(r.shard)
+    assert len(got) == 4500 and all(len(s) == 1 for s in where.values())
+    for measure in (lambda r: r.size, lambda r: 1, lambda r: len(texts[r.doc_id].split())):
+        sums = Counter()
+        for r in got:
+            sums[r.shard] += measure(r)
+        assert len(sums) == 24 and max(sums.values()) <= 1.06 * sum(sums.values()) / 24
+
+
 def test_shards_split_a_hot_group_and_take_awkward_rows(spark):
     hot = [(i, "same text", "en", "a", 9) for i in range(1000)] + [(i, f"text {i}", "en", "b", 9) for i in range(1000, 3000)]
     rows = sharding.shard_documents(X.documents(spark, hot)).groupBy("shard").agg(F.count("*").alias("n"), F.sum("size").alias("b")).collect()
