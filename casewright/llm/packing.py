@@ -7,10 +7,11 @@ until a compatible bin is found; only without any is a bin opened.
 
 Pieces are dealt evenly (round robin over a fixed, checkpointed table) to tasks, which pack windows of ``window``
 pieces, largest first.  Memory is bounded by the window, and neither a hot source nor a large cluster can gather in
-one task.  Bins never span windows.
+one task.  Bins never span windows; a window is a task's whole share, so only its last bins stay half empty.
 
 Defined results: a text that is null or has no tokens gets one row with bin null; a null source conflicts with
-nothing; null clusters likewise; repeated rows are packed separately (they conflict); extra columns are ignored.
+nothing; null clusters likewise; repeated rows are packed separately (they conflict); pieces of one size go as they
+come, bins of one residual by number; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from casewright.session import cut
 
-CAPACITY, WINDOW, PER_TASK = 2048, 2048, 16384
+CAPACITY, WINDOW, PER_TASK = 2048, 16384, 16384
 SCHEMA = "doc_id long, piece int, first_token long, n_tokens long, bin long, bin_offset long"
 
 
