@@ -16,14 +16,18 @@ def remainder(doc_id: Column, modulus: int) -> Column:
 
 
 def training_rows(documents: DataFrame, labels: DataFrame, label: str, modulus: int, held: int, limit: int = MAX_LABELLED):
-    """(text, y) of labelled rows outside the held-out remainder: all, or about ``limit`` by a hash of doc_id."""
+    """(text, y) of labelled ids outside the held-out remainder: all, or about ``limit`` by a hash of doc_id.
+
+    An id that several rows carry counts once, with the text of the smallest hash, so the bound holds for rows too.
+    """
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & (remainder(F.col("doc_id"), modulus) != held))
     known = known.groupBy("doc_id").agg(F.max(label).alias("y"))
     total = known.count()
     if total > limit:
         known = known.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit("sample")), F.lit(1 << 30)) < int(limit / total * (1 << 30)))
     # The labelled side is bounded by ``limit``, so it may be broadcast.
-    return documents.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("text", "y")
+    rows = documents.select("doc_id", "text").join(F.broadcast(known), "doc_id")
+    return rows.groupBy("doc_id", "y").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t")).select("t.text", "y")
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:

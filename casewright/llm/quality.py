@@ -2,7 +2,7 @@
 
 Each class gets a mean and a covariance that is shrunk towards the pooled one and towards a scaled identity.  The
 two Cholesky factors are computed once, cached in the model and broadcast; a score is the logistic of the
-calibrated difference of the two Gaussian log-densities (squared Mahalanobis distances by triangular solves).
+calibrated difference of the two Gaussian log-densities (squared Mahalanobis distances by solving with the factors).
 
 Only labelled rows outside the held-out remainder are learned from: about ``learning.MAX_LABELLED`` of them at
 most.  Inputs are statistics of the whole text alone.
@@ -85,7 +85,7 @@ class Discriminant:
             s = (1 - weight) * own + weight * pooled
             s = (1 - to_identity) * s + to_identity * np.trace(s) / len(s) * np.eye(len(s))
             factor = np.linalg.cholesky(s)
-            self.parts.append((g.mean(0), np.linalg.inv(factor), 2 * np.log(np.diag(factor)).sum()))
+            self.parts.append((g.mean(0), factor, 2 * np.log(np.diag(factor)).sum()))
         self.w = np.array([1.0, 0.0])
         d = self.difference(x)
         w = fit_logistic(d[:, None], y.astype(float), ridge=1e-3)
@@ -95,7 +95,7 @@ class Discriminant:
     def difference(self, x: np.ndarray) -> np.ndarray:
         """log p(x | good) - log p(x | poor), squashed where both are far away."""
         z = (x - self.centre) / self.spread
-        low, high = (-0.5 * (((z - m) @ inverse.T) ** 2).sum(1) - 0.5 * logdet for m, inverse, logdet in self.parts)
+        low, high = (-0.5 * (np.linalg.solve(factor, (z - m).T) ** 2).sum(0) - 0.5 * logdet for m, factor, logdet in self.parts)
         return np.arcsinh((high - low) / 4)
 
     def score(self, x: np.ndarray) -> np.ndarray:

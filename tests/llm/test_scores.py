@@ -28,6 +28,37 @@ def test_quality_on_held_out_rows(spark):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and 0 <= r.score <= 1 for r in rows)
 
 
+def test_quality_scores_equal_plain_log_densities():
+    """Against inverse covariances and determinants written out."""
+    rng = np.random.default_rng(2)
+    y = (rng.random(400) < 0.6).astype(int)
+    x = rng.normal(size=(400, 5)) @ rng.normal(size=(5, 5)) + y[:, None] * 0.7
+    model = quality.Discriminant(x, y)
+    z = (x - x.mean(0)) / (x.std(0) + 1e-6)
+    groups = [z[y == k] for k in (0, 1)]
+    covariance = [np.cov(g.T, bias=True) for g in groups]
+    pooled = sum(c * len(g) for c, g in zip(covariance, groups, strict=True)) / len(z)
+    density = []
+    for g, c in zip(groups, covariance, strict=True):
+        weight = 0.1 + 0.9 * 5 / (5 + len(g))
+        s = (1 - weight) * c + weight * pooled
+        s = 0.98 * s + 0.02 * np.trace(s) / 5 * np.eye(5)
+        inverse = np.linalg.inv(s)
+        density.append([-0.5 * (v - g.mean(0)) @ inverse @ (v - g.mean(0)) - 0.5 * np.log(np.linalg.det(s)) for v in z])
+    want = np.arcsinh((np.array(density[1]) - np.array(density[0])) / 4)
+    assert np.allclose(model.difference(x), want)
+    assert np.allclose(model.score(x), 1 / (1 + np.exp(-(want * model.w[0] + model.w[1]))))
+
+
+def test_an_id_trains_once(spark):
+    from casewright.llm.learning import training_rows
+
+    docs = spark.createDataFrame([(1, "a"), (1, "a"), (1, "b"), (2, "c"), (3, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0), (3, 1, 1)], X.LABELS)
+    rows = training_rows(docs, labels, "quality", 1_000_003, -1).collect()
+    assert len(rows) == 3 and sum(r.text in ("a", "b") for r in rows) == 1
+
+
 def test_toxicity_on_held_out_rows(spark):
     docs, labels = spark.read.parquet(f"{BIG}/documents.parquet"), spark.read.parquet(f"{BIG}/labels.parquet")
     rows = toxicity.score_toxicity(docs, labels).collect()
