@@ -2,7 +2,7 @@
 
 Each class gets a mean and a covariance that is shrunk towards the pooled one and towards a scaled identity.  The
 two Cholesky factors are computed once, cached in the model and broadcast; a score is the logistic of the
-calibrated difference of the two Gaussian log-densities (squared Mahalanobis distances by solving with the factors).
+calibrated difference of the two Gaussian log-densities (squared Mahalanobis distances by forward substitution).
 
 Only labelled rows outside the held-out remainder are learned from: about ``learning.MAX_LABELLED`` of them at
 most.  Inputs are statistics of the whole text alone.
@@ -66,6 +66,14 @@ def statistics(text: str | None) -> list[float]:
     ]
 
 
+def forward(factor: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The solution of ``factor @ x = b`` for a lower triangular factor, row by row."""
+    x = np.empty_like(b)
+    for i in range(len(b)):
+        x[i] = (b[i] - (factor[i, :i, None] * x[:i]).sum(0)) / factor[i, i]
+    return x
+
+
 class Discriminant:
     """Two shrunken Gaussians with cached Cholesky factors, and a calibration of their log-density difference."""
 
@@ -95,7 +103,7 @@ class Discriminant:
     def difference(self, x: np.ndarray) -> np.ndarray:
         """log p(x | good) - log p(x | poor), squashed where both are far away."""
         z = (x - self.centre) / self.spread
-        low, high = (-0.5 * (np.linalg.solve(factor, (z - m).T) ** 2).sum(0) - 0.5 * logdet for m, factor, logdet in self.parts)
+        low, high = (-0.5 * (forward(factor, (z - m).T) ** 2).sum(0) - 0.5 * logdet for m, factor, logdet in self.parts)
         return np.arcsinh((high - low) / 4)
 
     def score(self, x: np.ndarray) -> np.ndarray:
