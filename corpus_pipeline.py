@@ -2,6 +2,12 @@
 
 Every stage takes (spark, docs, sf_dir), works on all rows its predecessor kept and returns a DataFrame; all but the
 last return the columns of ``docs``.
+
+Defined results: null and empty texts score as the empty text, are near no other document, hold no benchmark passage and
+no secret, and get a row without a bin.  A null doc_id is kept like any other; of a group of near duplicates the row of
+the smallest known doc_id stays, of repeated rows one.  Ties between bins go by their numbers.  An empty table passes
+all stages and gives an empty result.  Extra columns are kept by all stages but the last, whatever their names (names
+that begin with two underscores are the operators' own).
 """
 
 from __future__ import annotations
