@@ -163,7 +163,8 @@ def read_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Nodes (a column for each known array; null where the document has none) and edges (citing, cited)."""
     schema = ", ".join(f"{name} array<{kind}>" for name, (_, kind) in ARRAYS.items())
     doc = spark.read.schema(f"{schema}, edges array<int>").json(path, multiLine=True)
-    present = doc.select(*[F.coalesce(F.col(name), F.transform("ids", lambda _, k=kind: F.lit(None).cast(k))).alias(name) for name, (_, kind) in ARRAYS.items()])
+    empty = lambda kind: F.transform("ids", lambda _: F.lit(None).cast(kind))
+    present = doc.select(*[F.coalesce(F.col(name), empty(kind)).alias(name) for name, (_, kind) in ARRAYS.items()])
     nodes = present.select(F.explode(F.arrays_zip(*ARRAYS)).alias("z")).select(*[F.col(f"z.{name}").alias(column) for name, (column, _) in ARRAYS.items()])
     pairs = F.transform(F.sequence(F.lit(0), F.floor(F.size("edges") / 2).cast("int") - 1), lambda i: F.struct(F.element_at("ids", F.element_at("edges", 2 * i + 1) + 1).alias("citing"), F.element_at("ids", F.element_at("edges", 2 * i + 2) + 1).alias("cited")))
     edges = doc.where(F.size("edges") > 0).select(F.explode(pairs).alias("e")).select("e.*")
