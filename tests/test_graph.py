@@ -42,6 +42,47 @@ def test_distances_in_modes_are_dual(spark):
     assert all(both[k] <= d for k, d in back.items())
 
 
+@pytest.mark.parametrize("mode", P.MODES)
+def test_pairs_meet_in_the_middle(spark, monkeypatch, mode):
+    rng = random.Random(8)
+    links = {(rng.randrange(60), rng.randrange(60)) for _ in range(80)} | {(100 + i, 101 + i) for i in range(5)} | {(200, 201), (5, 5)}
+    pairs = [(rng.randrange(60), rng.randrange(60)) for _ in range(150)] + [(100, 105), (105, 100), (102, 104), (200, 3), (7, 7), (999, 999), (999, 1), (1, 999), (100, 105)]
+    near = {}
+    for a, b in links:
+        for x, y in {"back": [(a, b)], "forward": [(b, a)], "any": [(a, b), (b, a)]}[mode]:
+            near.setdefault(x, set()).add(y)
+
+    def walk(a):
+        dist, level = {a: 0}, [a]
+        while level:
+            level = sorted({y for x in level for y in near.get(x, ())} - set(dist))
+            dist |= dict.fromkeys(level, max(dist.values()) + 1)
+        return dist
+
+    expected = {(a, b): walk(a)[b] for a, b in pairs if b in walk(a)}
+    asked = []
+    monkeypatch.setattr(P, "components", lambda *x: asked.append(1) or components(*x))
+    found = P.pair_distances(graph(spark, sorted(links)), spark.createDataFrame(pairs, "a long, b long"), mode).collect()
+    assert {(r.a, r.b): r.d for r in found} == expected and len(found) == len(expected)
+    assert len(asked) <= 1
+
+
+def test_pairs_are_not_searched_from_one_end_alone(spark, monkeypatch):
+    """Two stars a bridge apart: a search from one end would hold the other star's leaves."""
+    links = [(1, k) for k in range(10, 400)] + [(2, k) for k in range(1000, 1400)] + [(1, 2)]
+    kept, keep = [], P.Scratch.keep
+
+    def count(self, df):
+        kept.append((out := keep(self, df)).count())
+        return out
+
+    monkeypatch.setattr(P.Scratch, "keep", count)
+    pairs = spark.createDataFrame([(10 + k, 1000 + k) for k in range(20)], "a long, b long")
+    found = P.pair_distances(graph(spark, links), pairs).collect()
+    assert {r.d for r in found} == {3} and len(found) == 20
+    assert max(kept[1:]) < 400 * 20  # of the hops' 1,582 rows and the searches
+
+
 def shapes():
     rng = random.Random(3)
     zigzag = [x for i in range(200) for x in (i, 400 - i)]
