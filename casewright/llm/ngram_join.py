@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from casewright.operators.components import components
-from casewright.llm.shingles import set_key, shingle_set
+from casewright.llm.shingles import set_key, shingle_sets
 from casewright.session import cut
 
 #: Links need 100 * intersection >= NUMERATOR * union.
@@ -46,6 +46,11 @@ HOT, MAX_HOT = 32, 200_000
 SPREAD = 1 << 15
 CHUNK, CHUNK_SHINGLES, LEAF, SMALL = 2048, 1 << 22, 32, 64
 SLICE = 1 << 20
+#: Shingles are counted in runs of so many: those that a run has once are not counted, so the longer the run the rarer
+#: is what still counts as frequent.
+COUNTED = 1 << 22
+#: Prefixes travel packed: a row of their shuffle has what a slice of them holds of one of so many shares of all shingles.
+SHARES = 1024
 BROADCAST_ROWS = 500_000
 
 
@@ -220,12 +225,14 @@ def frequent(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
     """Frequent shingles and their counts, sorted: they are put last in the order (any order is correct)."""
 
     def slices(batches: Iterator[pd.DataFrame]) -> Iterator[np.ndarray]:
-        sets, size = [], 0
+        sets, size, seen = [], 0, set()
         for b in batches:
-            for text in b.text:
-                sets.append(shingle_set(text, words))
-                size += len(sets[-1])
-                if size >= SLICE:
+            fresh = {key: text for key, text in zip(map(hash, b.text), b.text, strict=True) if key not in seen}
+            seen.update(fresh)  # copies are one node, so they don't make a shingle frequent
+            for s in shingle_sets(fresh.values(), words):
+                sets.append(s)
+                size += len(s)
+                if size >= COUNTED:
                     yield np.concatenate(sets)
                     sets, size = [], 0
         if size:
@@ -236,7 +243,7 @@ def frequent(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
             values.sort()
             starts = np.flatnonzero(np.r_[True, values[1:] != values[:-1]])
             counts = np.diff(np.r_[starts, len(values)])
-            some = counts >= 3
+            some = counts >= 2
             yield pd.DataFrame({"token": values[starts[some]].view(np.int64), "n": counts[some].astype(np.int64)})
 
     totals = texts.mapInPandas(task, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT)
@@ -249,62 +256,96 @@ def frequent(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
 def nodes_of(texts: DataFrame, words: int, numerator: int, held) -> DataFrame:
     """For each row: doc_id, tk, n, node; and tokens (its prefix) and point where its task first meets the node."""
 
-    def prefix(s: np.ndarray) -> np.ndarray:
+    def prefix(s: np.ndarray, maybe: np.ndarray) -> np.ndarray:
         token, count = held.value
         size = prefix_length(len(s), numerator)
-        if not len(token):
+        at = np.flatnonzero(maybe[(s & np.uint64(len(maybe) - 1)).astype(np.int64)])  # the others are not frequent
+        if not len(at):
             return s[:size]
-        at = np.minimum(np.searchsorted(token, s), len(token) - 1)
-        rank = np.where(token[at] == s, count[at], 0)
-        return s[np.argsort(rank, kind="stable")[:size]]
+        place = np.minimum(np.searchsorted(token, s[at]), len(token) - 1)
+        is_ = token[place] == s[at]
+        at, place = at[is_], place[is_]
+        rare = np.delete(s, at)[:size]
+        return np.r_[rare, s[at[np.argsort(count[place], kind="stable")[: size - len(rare)]]]]
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[int] = set()
+        maybe = np.zeros(1 << 22, bool)  # by a hash's last bits: whether it may be frequent
+        maybe[(held.value[0] & np.uint64(len(maybe) - 1)).astype(np.int64)] = True
+        known: dict[int, tuple[int, int | None]] = {}  # of each text: its copies are not shingled again
         for b in batches:
-            out = []
-            for doc_id, tk, text in zip(b.doc_id, b.tk, b.text, strict=True):
-                s = shingle_set(text, words)
-                if not len(s):
-                    out.append((doc_id, tk, 0, None, None, None))
-                    continue
-                node = set_key(s)
-                new = node not in seen
-                seen.add(node)
-                out.append((doc_id, tk, len(s), node, prefix(s).view(np.int64) if new else None, points(s).tobytes() if new else None))
+            fresh = {tk: text for tk, text in zip(b.tk, b.text, strict=True) if tk not in known}
+            made = {}
+            for tk, s in zip(fresh, shingle_sets(fresh.values(), words), strict=True):
+                node = set_key(s) if len(s) else None
+                known[tk] = len(s), node
+                if len(s) and node not in seen:
+                    seen.add(node)
+                    made[tk] = prefix(s, maybe).tobytes(), points(s).tobytes()
+            out = [(doc_id, tk, *known[tk], *made.pop(tk, (None, None))) for doc_id, tk in zip(b.doc_id, b.tk, strict=True)]
             yield pd.DataFrame(out, columns=["doc_id", "tk", "n", "node", "tokens", "point"], dtype=object)
 
-    return texts.mapInPandas(task, "doc_id long, tk long, n long, node long, tokens array<long>, point binary")
+    return texts.mapInPandas(task, "doc_id long, tk long, n long, node long, tokens binary, point binary")
 
 
-def groups_of(postings: DataFrame, hot: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(g, node): the nodes of each prefix shingle that several have, under the smallest of them; from (token, node)."""
+def groups_of(prefixes: DataFrame, hot: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """(g, node): the nodes of each prefix shingle that several have, under the smallest of them; from (node, tokens)."""
+    token, count = hot
+    wide = token[count >= SPREAD]
+
+    def slices(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(token, node) of all prefixes, about ``SLICE`` at once."""
+        held: list[tuple[int, np.ndarray]] = []
+        size = 0
+
+        def done() -> tuple[np.ndarray, np.ndarray]:
+            return np.concatenate([t for _, t in held]), np.repeat(np.array([n for n, _ in held], np.int64), [len(t) for _, t in held])
 
-    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        token_before, first_before = None, None
         for b in batches:
-            token, node = b.token.to_numpy(np.int64), b.node.to_numpy(np.int64)
-            if not len(token):
-                continue
-            starts = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
-            first = node[starts]  # rows come in order, so a token's first row has its smallest node
-            if token_before == token[0]:
-                first[0] = first_before
-            g = np.repeat(first, np.diff(np.r_[starts, len(token)]))
-            token_before, first_before = token[-1], g[-1]
-            other = g != node
-            names = np.unique(g[other])
-            yield pd.DataFrame({"g": np.r_[g[other], names], "node": np.r_[node[other], names]}).drop_duplicates()
-
-    spark = postings.sparkSession
-    token, count = hot
-    wide = token[count >= SPREAD].view(np.int64)
-    few, many = postings, None
+            for node, tokens in zip(b.node, b.tokens, strict=True):
+                held.append((node, np.frombuffer(tokens, np.uint64)))
+                size += len(held[-1][1])
+                if size >= SLICE:
+                    yield done()
+                    held, size = [], 0
+        if size:
+            yield done()
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for tokens, nodes in slices(batches):
+            if len(wide):
+                narrow = ~np.isin(tokens, wide)
+                tokens, nodes = tokens[narrow], nodes[narrow]
+            share = (tokens & np.uint64(SHARES - 1)).astype(np.uint16)  # last bits: prefixes have mostly small shingles
+            order = np.argsort(share, kind="stable")
+            tokens, nodes = tokens[order], nodes[order]
+            cuts = np.searchsorted(share[order], np.arange(1, SHARES))
+            runs = [(r, lo, hi) for r, (lo, hi) in enumerate(zip(np.r_[0, cuts], np.r_[cuts, len(tokens)], strict=True)) if lo < hi]
+            yield pd.DataFrame([(r, tokens[lo:hi].tobytes(), nodes[lo:hi].tobytes()) for r, lo, hi in runs], columns=["r", "tokens", "nodes"])
+
+    def named(tokens: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        order = np.argsort(tokens)
+        tokens, nodes = tokens[order], nodes[order]
+        starts = np.flatnonzero(np.r_[True, tokens[1:] != tokens[:-1]])
+        g = np.repeat(np.minimum.reduceat(nodes, starts), np.diff(np.r_[starts, len(tokens)]))
+        other = g != nodes
+        names = np.unique(g[other])
+        return np.r_[g[other], names], np.r_[nodes[other], names]
+
+    def handle(rows: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+        tokens, nodes = rows.tokens.to_numpy(), rows.nodes.to_numpy()
+        found = [named(np.frombuffer(b"".join(tokens[lo:hi]), np.uint64), np.frombuffer(b"".join(nodes[lo:hi]), np.int64)) for lo, hi in zip(starts[:-1], starts[1:], strict=True)]
+        return pd.DataFrame({"g": np.concatenate([g for g, _ in found]), "node": np.concatenate([n for _, n in found])}).drop_duplicates()
+
+    def some(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for tokens, nodes in slices(batches):
+            at = np.flatnonzero(np.isin(tokens, wide))
+            yield pd.DataFrame({"token": tokens[at].view(np.int64), "node": nodes[at]})
+
+    dealt = prefixes.mapInPandas(pack, "r int, tokens binary, nodes binary").repartition("r").sortWithinPartitions("r")
+    found = dealt.mapInPandas(in_groups(["r"], handle), "g long, node long")
     if len(wide):  # at most MAX_HOT tokens
-        wide_tokens = F.broadcast(spark.createDataFrame(pd.DataFrame({"token": wide})))
-        few, many = postings.join(wide_tokens, "token", "left_anti"), postings.join(wide_tokens, "token", "left_semi")
-    dealt = few.repartition("token").sortWithinPartitions("token", "node")
-    found = dealt.mapInPandas(task, "g long, node long")
-    if many is not None:
+        many = prefixes.mapInPandas(some, "token long, node long")
         smallest = many.groupBy("token").agg(F.min("node").alias("g"))
         found = found.unionAll(many.join(F.broadcast(smallest), "token").select("g", "node"))
     return cut(found.distinct())
@@ -384,7 +425,7 @@ def verified(rows: DataFrame, words: int, numerator: int) -> DataFrame:
         """Links (a, b) of one part's labels: the smallest of each cluster, and each other one."""
         node, at = np.unique(node, return_index=True)
         label, role = label[at], role[at]
-        sets = [shingle_set(texts[k], words) for k in at]
+        sets = list(shingle_sets([texts[k] for k in at], words))
         size = np.array([len(s) for s in sets])
         held: list[np.ndarray] = []
 
@@ -455,7 +496,7 @@ def jaccard_join(documents: DataFrame, words: int = 5, numerator: int = NUMERATO
     rows = cut(nodes_of(texts, words, numerator, held))
     held.destroy()
     first = rows.where("tokens is not null")
-    groups = groups_of(first.select(F.explode_outer("tokens").alias("token"), "node"), hot)
+    groups = groups_of(first.select("node", "tokens"), hot)
     info = first.join(groups.select("node").distinct(), "node", "left_semi")
     info = info.groupBy("node").agg(F.min(F.struct("doc_id", "tk")).alias("i"), F.first("n").alias("n"), F.first("point").alias("point"))
     info = cut(info.select("node", "i.*", "n", "point"))

@@ -96,6 +96,55 @@ def test_large_groups_by_trees(spark, monkeypatch):
         assert joined(df) == want
 
 
+def test_shingles_of_many_texts_at_once():
+    """As many as the plain text has, equal only where the words are, whatever stands before and after a text."""
+    rng = random.Random(6)
+    texts = [None, "", " \n", "\x00a b\x1c c", "A" * 9 + " " + "a" * 9, "x" * 64 + " " + "x" * 65 + " X" + "x" * 64, "é É z\t\n\v\f\r y", "q" * 300_000]
+    texts += ["".join(rng.choice("abcAB \n\x00é") for _ in range(rng.randrange(300))) for _ in range(200)]
+    texts += [" ".join(rng.choice("ab") * rng.randrange(1, 90) for _ in range(40)) for _ in range(20)]
+    key_of, gram_of = {}, {}
+    for text, found in zip(texts, shingles.shingle_sets(texts), strict=True):
+        w = [x for x in re.split(r"[\x20\x09-\x0D]+", (text or "").translate(LOWER)) if x]
+        grams = {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
+        assert len(found) == len(grams) and found.tolist() == shingles.shingle_set(text).tolist()
+        for gram in grams:
+            key = int(shingles.shingle_set(" ".join(gram))[0])
+            assert key in found and key_of.setdefault(gram, key) == key and gram_of.setdefault(key, gram) == gram
+
+
+def test_join_counts_what_two_rows_of_a_task_share(spark):
+    """A passage in few of a task's rows, but in many rows of all, is frequent; copies of one text make nothing so."""
+    passage = " ".join(f"p{i}" for i in range(9))
+    own = [(" ".join(f"r{i}w{k}" for k in range(9)) + " " + passage, i // 2) for i in range(40)]
+    own += [("only copies of this one text", i % 20) for i in range(200)]
+    df = spark.createDataFrame(own, "text string, part int").repartitionByRange(20, "part").select("text")
+    tokens, counts = ngram_join.frequent(df, 5)
+    assert set(zip(tokens.tolist(), counts.tolist(), strict=True)) == {(t, 40) for t in shingles.shingle_set(passage).tolist()}
+
+
+@pytest.mark.parametrize("spread", [6, 1 << 15])
+def test_groups_from_packed_prefixes(spark, monkeypatch, spread):
+    """In many slices, repeated nodes, the smallest and the largest shingle among them."""
+    import numpy as np
+
+    monkeypatch.setattr(ngram_join, "SLICE", 64)
+    monkeypatch.setattr(ngram_join, "SPREAD", spread)
+    rng = np.random.default_rng(3)
+    token = np.r_[np.array([0, 2**63, 2**64 - 1], np.uint64), rng.integers(0, 2**64, 300, dtype=np.uint64)]
+    rows = [(int(n), np.unique(rng.choice(token, rng.integers(1, 20)))) for n in rng.integers(-(2**63), 2**63, 200)]
+    rows += rows[::5]
+    holders = defaultdict(set)
+    for n, tokens in rows:
+        for t in tokens.tolist():
+            holders[t].add(n)
+    want = {(min(h), n) for h in holders.values() if len(h) > 1 for n in h}
+    hot = np.unique(token), np.array([len(holders[t]) for t in np.unique(token).tolist()])
+    df = spark.createDataFrame([(n, bytearray(t.tobytes())) for n, t in rows], "node long, tokens binary").repartition(3)
+    got = [(r.g, r.node) for r in ngram_join.groups_of(df, hot).collect()]
+    assert len(got) == len(set(got)) and want <= set(got)
+    assert all(n in {m for h in holders.values() if g in h for m in h} for g, n in got)
+
+
 def test_clusters_equal_plain_union():
     """Of random relations, with labels that are joined already and nodes that are not looked from."""
     import numpy as np
