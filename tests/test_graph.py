@@ -11,6 +11,8 @@ from casewright.operators import puzzles as Z
 from casewright.operators import stats as S
 from casewright.operators import components as components_module
 from casewright.operators.components import components
+from casewright.queries import oracle_sql, queries
+from oracle import compare
 
 
 def graph(spark, pairs):
@@ -83,6 +85,34 @@ def test_pairs_are_not_searched_from_one_end_alone(spark, monkeypatch):
     assert max(kept[1:]) < 400 * 20  # of the hops' 1,582 rows and the searches
 
 
+def test_many_pairs_are_told_apart_before_any_search(spark, monkeypatch):
+    links = [(c * 1000 + i, c * 1000 + (i * 7 + 1) % 100) for c in range(3) for i in range(100)]
+    pairs = [(i, 1000 + i) for i in range(40)] + [(2000, 2001), (7, 7)]
+    kept, asked, keep = [], [], P.Scratch.keep
+    monkeypatch.setattr(P.Scratch, "keep", lambda self, df: kept.append(1) or keep(self, df))
+    monkeypatch.setattr(P, "components", lambda *x: asked.append(len(kept)) or components(*x))
+    found = P.pair_distances(graph(spark, links), spark.createDataFrame(pairs, "a long, b long")).collect()
+    assert {(r.a, r.b, r.d) for r in found} == {(2000, 2001, 1), (7, 7, 0)}
+    assert asked == [2]  # after the links and the pairs
+
+
+@pytest.fixture
+def copies(spark, tmp_path):
+    """Orders and lines of sf0.001 twice, with shifted keys: two graphs that nothing joins."""
+    import duckdb
+
+    source = "/root/testdata/sf0.001"
+    for name, keys in {"orders": {"o_orderkey": 1500}, "lineitem": {"l_orderkey": 1500, "l_partkey": 200}}.items():
+        shifted = ", ".join(f"{k} + i * {n} AS {k}" for k, n in keys.items())
+        duckdb.sql(f"COPY (SELECT * REPLACE ({shifted}) FROM '{source}/{name}.parquet', (SELECT unnest([0, 1]) AS i)) TO '{tmp_path}/{name}.parquet'")
+    return str(tmp_path)
+
+
+@pytest.mark.parametrize("name", ["path_length_hist"])
+def test_path_lengths_of_two_graphs(spark, copies, name):
+    compare(spark, copies, queries()[name], oracle_sql()[name])
+
+
 def shapes():
     rng = random.Random(3)
     zigzag = [x for i in range(200) for x in (i, 400 - i)]
@@ -117,6 +147,13 @@ def test_components_equal_union_find_in_few_rounds(spark, monkeypatch, shape):
     assert len(kept) <= 1 + 3 * 19  # three tables a round, one besides
 
 
+@pytest.mark.parametrize("shape", list(shapes()))
+def test_components_by_rounds_alone(spark, monkeypatch, shape):
+    """Without the driver's share at the end."""
+    monkeypatch.setattr(components_module, "MAX_LAST", 0)
+    test_components_equal_union_find_in_few_rounds(spark, monkeypatch, shape)
+
+
 def test_fold_keeps_best_connected_then_lowest(spark):
     meta = spark.createDataFrame(
         [(1, 1900, "Smith v. Jones", ""), (2, 1900, "Smith v. Jones", ""), (3, 1900, "Jones v. Smith", ""), (4, None, "Smith v. Jones", ""), (5, 1900, "alpha beta gamma delta", ""), (6, 1900, "alpha beta gamma epsilon", "")],
